@@ -122,7 +122,7 @@ def grid_complete(spark, sf):
     return g.join(h, ["corridor", "hour"], "left").select("corridor", "hour", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("""WITH {D} SELECT a.corridor, a.day, round(avg(b.price), 4) AS peer_mean, min(b.price) AS peer_min, max(b.price) AS peer_max, round(stddev_pop(b.price), 1) AS peer_std, round(avg((b.price >= a.price)::INT), 6) AS share_above FROM d a JOIN d b ON a.day = b.day AND a.corridor <> b.corridor GROUP BY 1, 2""")
+@query("""WITH {D} SELECT a.corridor, a.day, round(avg(b.price), 4) AS peer_mean, min(b.price) AS peer_min, max(b.price) AS peer_max, round(stddev_pop(b.price), 6) AS peer_std, round(avg((b.price >= a.price)::INT), 6) AS share_above FROM d a JOIN d b ON a.day = b.day AND a.corridor <> b.corridor GROUP BY 1, 2""")
 def leave_one_out_peers(spark, sf):
     """Statistics of the other corridors of the day (five at most), from one array a day."""
     w = Window.partitionBy("day")
@@ -131,7 +131,7 @@ def leave_one_out_peers(spark, sf):
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b)
     mean = total("p") / F.size("p")
     std = F.sqrt(total(F.transform("p", lambda x: (x - mean) * (x - mean))) / F.size("p"))
-    return d.select("corridor", "day", r4(mean).alias("peer_mean"), F.array_min("p").alias("peer_min"), F.array_max("p").alias("peer_max"), F.round(std, 1).alias("peer_std"), F.round(F.size(F.filter("p", lambda x: x >= c("price"))) / F.size("p"), 6).alias("share_above"))
+    return d.select("corridor", "day", r4(mean).alias("peer_mean"), F.array_min("p").alias("peer_min"), F.array_max("p").alias("peer_max"), F.round(std, 6).alias("peer_std"), F.round(F.size(F.filter("p", lambda x: x >= c("price"))) / F.size("p"), 6).alias("share_above"))
 
 
 @query("""WITH q AS (SELECT DISTINCT quote_id, provider, available_at, bid_uzs_per_rub AS bid, ask_uzs_per_rub AS ask FROM bank_quotes WHERE bid_uzs_per_rub > 0 AND ask_uzs_per_rub > 0 AND available_at >= observed_at)
