@@ -44,9 +44,8 @@ def column_table_json(payloads: DataFrame, *, block: str, aliases: dict[str, lis
 def key_rate_html(payloads: DataFrame, *, text: str = "text") -> DataFrame:
     """(rate_date, rate_pct) from table cells in which a date is followed by a number between 0 and 100; a date with two rates fails."""
     cells = F.regexp_extract_all(F.col(text), F.lit(r"(?s)<td[^>]*>\s*(.*?)\s*</td>"), F.lit(1))
-    pos = payloads.select(F.monotonically_increasing_id().alias("doc"), F.posexplode(cells).alias("i", "cell"))
-    w = Window.partitionBy("doc").orderBy("i")
-    pairs = pos.select(F.expr("try_to_timestamp(cell, 'dd.MM.yyyy')").cast("date").alias("rate_date"), decimal_comma(F.lead("cell").over(w)).alias("rate_pct"))
+    pairs = payloads.select(cells.alias("c")).select(F.inline(F.transform("c", lambda x, i: F.struct(x.alias("cell"), F.get("c", i + 1).alias("after")))))
+    pairs = pairs.select(F.expr("try_to_timestamp(cell, 'dd.MM.yyyy')").cast("date").alias("rate_date"), decimal_comma(F.col("after")).alias("rate_pct"))
     good = pairs.where("rate_date is not null and rate_pct > 0 and rate_pct < 100").groupBy("rate_date").agg(F.min("rate_pct").alias("lo"), F.max("rate_pct").alias("rate_pct"))
     return good.select("rate_date", F.when(F.col("lo") == F.col("rate_pct"), F.col("rate_pct")).otherwise(F.raise_error(F.concat(F.lit("two rates on "), F.col("rate_date").cast("string")))).alias("rate_pct"))
 
