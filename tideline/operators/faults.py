@@ -81,7 +81,7 @@ def flag_faults(
     close: str = "close",
     latest: str = "fetched_at",
     least_repeats: int = 5,
-    repeats_over_usual: float = 2.5,
+    repeats_over_usual: float = 2.3,
     per_block: int = 500_000,
 ) -> DataFrame:
     """One row (source, us, spike, wick, stuck, impossible) per source and time, the four faults as booleans; us is the wall time in microseconds.
@@ -94,8 +94,9 @@ def flag_faults(
     round repeats this with the spikes of the first taken out of levels and scales. Scales are median absolute
     deviations over differences other than zero.
     wick: high or low lies that far beyond both open and close.
-    stuck: the close repeats the preceding one in a run of at least least_repeats repeats and repeats_over_usual times
-    the 97th percentile of the source's runs (single prices count as runs of none); every row of it but the first.
+    stuck: the close repeats the preceding one in a run of at least least_repeats repeats, and repeats_over_usual more
+    for every repeat over one that the 97th percentile of the source's runs has (single prices count as runs of
+    none); every row of it but the first.
     impossible: close, high or low not above zero or not finite, high below low, or close outside them.
 
     Each source is cut into chunks of 4096 closes by position, with 16 rows of the neighbouring chunks, and statistics
@@ -126,7 +127,7 @@ def flag_faults(
     runs = cut(moved.join(begun, ["s", "chunk"]).select("s", "chunk", "us", (F.coalesce("base", F.lit(0)) + F.sum("moved").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("run")))
     lengths = runs.groupBy("s", "run").agg((F.count("*") - 1).alias("repeats"), F.min("us").alias("begin"))
     usual = lengths.groupBy("s").agg(F.percentile_approx("repeats", 0.97, 1000).alias("usual"))
-    long = lengths.where(F.col("repeats") >= least_repeats).join(usual, "s").where(F.col("repeats") >= repeats_over_usual * F.col("usual"))
+    long = lengths.where(F.col("repeats") >= least_repeats).join(usual, "s").where(F.col("repeats") >= least_repeats + repeats_over_usual * F.greatest(F.col("usual") - 1, F.lit(0)))
     stuck = runs.join(long.select("s", "run", "begin"), ["s", "run"]).where("us > begin").select("s", "us", F.lit("stuck").alias("fault"))
 
     bad = lambda c: F.coalesce(F.col(c).isNotNull() & ~fine(c), F.lit(False))
