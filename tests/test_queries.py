@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from compare import canon
-from tideline.queries import dealt, dealt_sql, evaluation, features, joins, models, registry  # noqa: F401
+from tideline.queries import dealt, dealt_sql, evaluation, features, joins, models, more, registry  # noqa: F401
 
 QUERIES = {**dealt.QUERIES, **registry.QUERIES}
 SQL = {**dealt_sql.SQL, **registry.SQL}
