@@ -53,10 +53,10 @@ def as_known(
     first = F.lit(-(2**63)).cast("long")
     headed = rows.select("e", "b", "us", "r").unionByName(best.select("e", "b", first.alias("us"), F.col("carried").alias("r")))
     earlier = Window.partitionBy("e", "b").orderBy("us", "r").rowsBetween(Window.unboundedPreceding, -1)
-    # Within equal microseconds lower ranks come first; asking rows have a null rank, which is the least, so they are counted by a RANGE frame below.
+    # Within equal microseconds lower ranks come first, and asking rows, whose rank is null, before them; a RANGE frame counts for these below.
     so_far = F.max("r").over(earlier)
     marked = headed.withColumn("change", (F.col("us") != first) & F.col("r").isNotNull() & (so_far.isNull() | (F.col("r") > so_far)))
-    marked = cut(marked.where("us <> -9223372036854775808").select("e", "b", "us", "r", F.col("change").cast("long").alias("change")))
+    marked = cut(marked.where(F.col("us") != first).select("e", "b", "us", "r", F.col("change").cast("long").alias("change")))
 
     base = before(marked.groupBy("e", "b").agg(F.sum("change").alias("n")), "e", "b", F.sum, "n", "base").select("e", "b", F.coalesce("base", F.lit(0)).alias("base"))
     with_base = marked.unionByName(base.select("e", "b", first.alias("us"), none.alias("r"), F.col("base").alias("change")))

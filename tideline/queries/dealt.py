@@ -25,7 +25,7 @@ def _text(us: Column) -> Column:
 def p1_series(spark: SparkSession, sf: str) -> DataFrame:
     """The complete ten-minute series, filled or marked."""
     sources = table(spark, sf, "moex_universe").select("secid", F.col("availability.intraday_10m_from").alias("since"))
-    return regular_grid(table(spark, sf, "intraday_readings"), sources, table(spark, sf, "trading_sessions"))
+    return regular_grid(table(spark, sf, "intraday_readings"), sources, table(spark, sf, "trading_sessions")).withColumn("value", F.round("value", 6))
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,7 +48,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p3_faults(spark, sf).where("spike or wick or stuck or impossible").select(F.col("source").alias("secid"), _text(F.col("us")).alias("dt_msk")).distinct()
 
 
-def p5_known(spark: SparkSession, sf: str) -> DataFrame:
+def _known(spark: SparkSession, sf: str) -> DataFrame:
     """Every quote with the release of its provider in force and public at its available_at."""
     releases = table(spark, sf, "provider_rates")
     public = F.greatest(micros(F.col("known_at")), micros(F.col("observation_date")))
@@ -59,8 +59,12 @@ def p5_known(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p5_known(spark: SparkSession, sf: str) -> DataFrame:
+    return _known(spark, sf).withColumn("known_observation_date", F.col("known_observation_date").cast("string"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p5_known(spark, sf).where("known_release_id is not null").select("quote_id", F.col("known_release_id").alias("release_id")).distinct()
+    return _known(spark, sf).where("known_release_id is not null").select("quote_id", F.col("known_release_id").alias("release_id")).distinct()
 
 
 def p6_trailing(spark: SparkSession, sf: str) -> DataFrame:
