@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline import panel as P
 from tideline.functions import windows as X
+from tideline.operators.expanding import expanding_quantiles
 from tideline.queries.registry import query
 
 c = lambda name: F.col(name)
@@ -117,9 +118,7 @@ def trailing_quantile_candidates(spark, sf):
 @query("""WITH {D}, q AS (SELECT corridor, day, price, CASE WHEN count(price) OVER w >= 40 THEN quantile_cont(price, 1/3.0) OVER w END AS lo, CASE WHEN count(price) OVER w >= 40 THEN quantile_cont(price, 2/3.0) OVER w END AS hi FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT corridor, day, CASE WHEN lo IS NULL THEN NULL WHEN price <= lo THEN 'low' WHEN price <= hi THEN 'mid' ELSE 'high' END AS tercile FROM q""")
 def expanding_terciles(spark, sf):
-    past = DAY().rowsBetween(Window.unboundedPreceding, -1)
-    q = lambda p: X.full(c("price"), past, 40, X.expanding_quantile(c("price"), DAY(), p))
-    d = P.daily_panel(spark, sf).withColumn("lo", q(1 / 3)).withColumn("hi", q(2 / 3))
+    d = expanding_quantiles(P.daily_panel(spark, sf), key="corridor", at="day", value="price", quantiles={"lo": 1 / 3, "hi": 2 / 3}, least=40)
     return d.select("corridor", "day", F.when(c("lo").isNotNull(), F.when(c("price") <= c("lo"), "low").when(c("price") <= c("hi"), "mid").otherwise("high")).alias("tercile"))
 
 
@@ -240,9 +239,8 @@ SELECT corridor, day, CASE WHEN lo IS NULL OR vol IS NULL THEN NULL WHEN abs(r)
 def regime_label(spark, sf):
     d = P.daily_panel(spark, sf).withColumn("r", X.change(c("price"), DAY()))
     d = d.select("corridor", "day", "r", X.rolling(F.stddev_samp, c("r"), DAY(), 20).alias("vol"), X.rolling(F.avg, c("r"), DAY(), 20).alias("drift"))
-    past = DAY().rowsBetween(Window.unboundedPreceding, -1)
-    q = lambda p: X.full(c("vol"), past, 60, X.expanding_quantile(c("vol"), DAY(), p))
-    d = d.withColumn("lo", q(0.2)).withColumn("hi", q(0.8))
+    q = expanding_quantiles(d, key="corridor", at="day", value="vol", quantiles={"lo": 0.2, "hi": 0.8}, least=60)
+    d = d.join(q.select("corridor", "day", "lo", "hi"), ["corridor", "day"])
     known = c("lo").isNotNull() & c("vol").isNotNull()
     half = 0.5 * c("vol") / F.sqrt(F.lit(20.0))
     label = F.when(F.abs("r") > 3 * c("vol"), "SHOCK").when(c("vol") > c("hi"), "HIGH_VOL").when(c("drift") < -half, "TREND_DOWN").when(c("drift") > half, "TREND_UP").when(c("vol") < c("lo"), "LOW_VOL").otherwise("NORMAL")

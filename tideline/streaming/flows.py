@@ -58,7 +58,8 @@ class CapAndCooldown(StatefulProcessor):
                 kept.append(t)
         if last is not None:
             self.state.update((last, week, count))
-        yield pd.DataFrame({"corridor": [key[0]] * len(kept), "at": kept})
+        if kept:
+            yield pd.DataFrame({"corridor": [key[0]] * len(kept), "at": kept})
 
     def close(self) -> None:
         pass
