@@ -215,3 +215,134 @@ def spearman(spark, sf):
     m = P.daily_panel(spark, sf).groupBy("corridor", F.trunc("day", "month").alias("month")).agg(F.round(F.avg("price"), 2).alias("x"), r6(F.avg("n")).alias("y"))
     rank = lambda k: F.rank().over(Window.partitionBy("corridor").orderBy(k)) + (F.count("*").over(Window.partitionBy("corridor", k)) - 1) / 2
     return m.select("corridor", rank("x").alias("rx"), rank("y").alias("ry")).groupBy("corridor").agg(r6(F.corr("rx", "ry")).alias("spearman"), F.count("*").alias("months"))
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 300000 GROUP BY ALL")
+def prefix_projection(spark, sf):
+    """Only the columns of one prefix of a joined frame."""
+    j = P.table(spark, sf, "customer").join(P.table(spark, sf, "orders").where("o_totalprice > 300000"), c("c_custkey") == c("o_custkey"))
+    return j.select(*[k for k in j.columns if k.startswith("c_")]).distinct()
+
+
+@query("""SELECT horizon, count(*) AS n, round(avg(regret_bps), 6) AS regret FROM (SELECT DISTINCT score_id, horizon, score, regret_bps, target FROM score_frame WHERE score IS NOT NULL AND NOT isnan(score) AND regret_bps IS NOT NULL AND target IS NOT NULL) GROUP BY 1""")
+def complete_cases(spark, sf):
+    s = P.table(spark, sf, "score_frame").select("score_id", "horizon", "score", "regret_bps", "target").dropna(subset=["score", "regret_bps", "target"]).distinct()
+    return s.groupBy("horizon").agg(F.count("*").alias("n"), r6(F.avg("regret_bps")).alias("regret"))
+
+
+@query("""WITH {H} SELECT a.corridor, a.hour, a.n, b.n AS lag1, c.n AS lag2, d.n AS lag24 FROM h a JOIN h b ON a.corridor = b.corridor AND a.hour = b.hour + INTERVAL 1 HOUR JOIN h c ON a.corridor = c.corridor AND a.hour = c.hour + INTERVAL 2 HOUR JOIN h d ON a.corridor = d.corridor AND a.hour = d.hour + INTERVAL 24 HOUR""")
+def multi_lag_join(spark, sf):
+    """Each hour with the same source one, two and 24 hours before; rows are spread to the hours they serve and gathered once, instead of joined thrice."""
+    h = P.hourly_panel(spark, sf).select("corridor", "hour", "n")
+    lags = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(24))).alias("k")
+    x = h.select("corridor", "hour", "n", lags).withColumn("hour", c("hour") + F.make_interval(hours=c("k")))
+    at = lambda k: F.max(F.when(c("k") == k, c("n")))
+    g = x.groupBy("corridor", "hour").agg(at(0).alias("n"), at(1).alias("lag1"), at(2).alias("lag2"), at(24).alias("lag24"))
+    return g.dropna()
+
+
+@query("""WITH {D}, x AS (SELECT corridor, day, price, greatest(0, (price - min(price) OVER f) / price) * 10000 AS r, count(*) OVER f AS nf, row_number() OVER (PARTITION BY corridor ORDER BY day) AS rn FROM d WINDOW f AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
+j AS (SELECT a.corridor, a.day, b.r, row_number() OVER (PARTITION BY a.corridor, a.rn ORDER BY abs(a.price - b.price), b.rn) AS k, count(*) OVER (PARTITION BY a.corridor, a.rn) AS n FROM x a JOIN x b ON a.corridor = b.corridor AND b.rn <= a.rn - 5 AND b.rn >= a.rn - 64 AND b.nf = 5)
+SELECT corridor, day, round(max(r), 4) AS worst, round(avg(r), 4) AS mean FROM j WHERE k <= 10 AND n >= 40 GROUP BY 1, 2""")
+def nearest_history(spark, sf):
+    """Regret of the ten days nearest in price among the last sixty whose outcome is known."""
+    p, w = c("price"), DAY()
+    d = P.daily_panel(spark, sf).select("corridor", "day", "price", F.row_number().over(w).alias("rn"), L.regret_paid(p, w, 5).alias("r"))
+    d = d.withColumn("h", F.collect_list(F.when(c("r").isNotNull(), F.struct("price", "rn", "r"))).over(w.rowsBetween(-64, -5))).where(F.size("h") >= 40)
+    near = F.slice(F.array_sort(F.transform("h", lambda x: F.struct(F.abs(x["price"] - c("price")).alias("d"), x["rn"].alias("rn"), x["r"].alias("r")))), 1, 10)
+    d = d.select("corridor", "day", F.transform(near, lambda x: x["r"]).alias("v"))
+    return d.select("corridor", "day", r4(F.array_max("v")).alias("worst"), r4(F.aggregate("v", F.lit(0.0), lambda a, b: a + b) / F.size("v")).alias("mean"))
+
+
+@query("""SELECT DISTINCT secid, dt_msk, round(list_avg(v), 9) AS mean, list_min(v) AS low, list_max(v) AS high, len(v) AS present, round(len(list_filter(v, lambda x: x > open)) / len(v), 6) AS above_open FROM (SELECT *, list_filter([open, high, low, close], lambda x: x > 0) AS v FROM moex_candles) WHERE len(v) > 0""")
+def horizontal_stats(spark, sf):
+    """Statistics across the columns of a row, missing ones skipped."""
+    d = P.table(spark, sf, "moex_candles").select("secid", "dt_msk", "open", F.filter(F.array("open", "high", "low", "close"), lambda x: x > 0).alias("v")).where(F.size("v") > 0)
+    return d.select("secid", "dt_msk", F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b) / F.size("v"), 9).alias("mean"), F.array_min("v").alias("low"), F.array_max("v").alias("high"), F.size("v").alias("present"), r6(F.size(F.filter("v", lambda x: x > c("open"))) / F.size("v")).alias("above_open")).distinct()
+
+
+@query("""WITH {D}, y AS (SELECT corridor, year(day) AS y, round(avg(price), 4) AS m FROM d GROUP BY 1, 2), l AS (SELECT corridor, m / lag(m) OVER (PARTITION BY corridor ORDER BY y) AS r FROM y)
+SELECT corridor, count(r) AS folds, round(median(r), 6) AS median, round(quantile_cont(r, 0.75) - quantile_cont(r, 0.25), 6) AS iqr, round(min(r), 6) AS worst, round(max(r), 6) AS best FROM l WHERE r IS NOT NULL GROUP BY 1""")
+def foldwise_summary(spark, sf):
+    y = P.daily_panel(spark, sf).groupBy("corridor", F.year("day").alias("y")).agg(r4(F.avg("price")).alias("m"))
+    r = y.withColumn("r", c("m") / F.lag("m").over(X.series("corridor", "y"))).where("r is not null")
+    q = lambda x: F.percentile("r", F.lit(x))
+    return r.groupBy("corridor").agg(F.count("r").alias("folds"), r6(q(0.5)).alias("median"), r6(q(0.75) - q(0.25)).alias("iqr"), r6(F.min("r")).alias("worst"), r6(F.max("r")).alias("best"))
+
+
+@query("""WITH {D}, p AS (SELECT corridor, day, row_number() OVER (PARTITION BY corridor ORDER BY day) - 1 AS pos, count(*) OVER (PARTITION BY corridor) AS n FROM d), b AS (SELECT *, ntile(4) OVER (PARTITION BY corridor ORDER BY day) AS block FROM p WHERE pos >= n // 2)
+SELECT corridor, block, min(pos) - 5 AS train_stop, min(pos) AS test_lo, max(pos) AS test_hi FROM b GROUP BY 1, 2""")
+def oof_blocks(spark, sf):
+    """The second half of a series in four consecutive blocks, each scored by what lies five rows before it."""
+    p = P.daily_panel(spark, sf).withColumn("pos", P.position("corridor", "day")).withColumn("n", F.count("*").over(Window.partitionBy("corridor"))).where(c("pos") >= F.floor(c("n") / 2))
+    b = p.withColumn("block", F.ntile(4).over(DAY()))
+    return b.groupBy("corridor", "block").agg((F.min("pos") - 5).alias("train_stop"), F.min("pos").alias("test_lo"), F.max("pos").alias("test_hi"))
+
+
+@query("WITH {D} SELECT day, count(DISTINCT corridor) AS corridors FROM d GROUP BY 1 HAVING count(DISTINCT corridor) <> 5")
+def identical_support(spark, sf):
+    """Days on which not every corridor has a row."""
+    return P.daily_panel(spark, sf).groupBy("day").agg(F.count_distinct("corridor").alias("corridors")).where("corridors <> 5")
+
+
+@query("""WITH {D}, p AS (SELECT corridor, (price < 120000)::INT AS s, (n >= 2)::INT AS t, row_number() OVER (PARTITION BY corridor ORDER BY day) - 1 AS pos, count(*) OVER (PARTITION BY corridor) AS n FROM d), k AS (SELECT corridor, n, shift, sum(s * t) AS hits FROM (SELECT a.corridor, a.n, a.s, b.t, x.shift FROM p a JOIN (SELECT unnest(generate_series(0, 49)) * 17 AS shift) x ON true JOIN p b ON b.corridor = a.corridor AND b.pos = (a.pos + x.shift) % a.n) GROUP BY 1, 2, 3)
+SELECT corridor, max(CASE WHEN shift = 0 THEN hits END)::BIGINT AS hits, round((1 + sum((shift > 0 AND hits >= h0)::INT)) / (1 + sum((shift > 0)::INT)), 6) AS p FROM (SELECT *, max(CASE WHEN shift = 0 THEN hits END) OVER (PARTITION BY corridor) AS h0 FROM k) GROUP BY 1""")
+def circular_placebo(spark, sf):
+    """How often signals hit as many targets when the targets are rolled along the series, for 49 rolls."""
+    w = Window.partitionBy("corridor")
+    p = P.daily_panel(spark, sf).select("corridor", (c("price") < 120_000).cast("int").alias("s"), (c("n") >= 2).cast("int").alias("t"), P.position("corridor", "day").alias("pos"), F.count("*").over(w).alias("len"))
+    hit = p.where("s = 1").select("corridor", "len", "pos", F.explode(F.sequence(F.lit(0), F.lit(49 * 17), F.lit(17))).alias("shift")).withColumn("pos", (c("pos") + c("shift")) % c("len"))
+    k = hit.join(p.where("t = 1").select("corridor", "pos"), ["corridor", "pos"], "left_semi").groupBy("corridor", "shift").agg(F.count("*").alias("hits"))
+    base = p.groupBy("corridor").agg(F.lit(1).alias("one")).select("corridor", F.explode(F.sequence(F.lit(0), F.lit(49 * 17), F.lit(17))).alias("shift"))
+    k = base.join(k, ["corridor", "shift"], "left").withColumn("hits", F.coalesce("hits", F.lit(0))).withColumn("h0", F.max(F.when(c("shift") == 0, c("hits"))).over(w))
+    return k.groupBy("corridor").agg(F.max(F.when(c("shift") == 0, c("hits"))).alias("hits"), r6((1 + F.count_if((c("shift") > 0) & (c("hits") >= c("h0")))) / (1 + F.count_if(c("shift") > 0))).alias("p"))
+
+
+@query("""WITH s AS (SELECT DISTINCT secid, dt_msk, close, volume_rub FROM moex_candles WHERE close > 0 AND volume_rub > 0 AND NOT isnan(volume_rub)), u AS (SELECT secid, asset_class, CAST(dt_msk AS DATE) AS day, round(sum(volume_rub), 2) AS vol, max_by(close, dt_msk) AS close FROM s JOIN moex_universe USING (secid) GROUP BY ALL), n AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY asset_class, day ORDER BY vol DESC, secid) = 1),
+f AS (SELECT *, CASE WHEN secid <> lag(secid) OVER w THEN lag(close) OVER w / close ELSE 1 END AS f FROM n WINDOW w AS (PARTITION BY asset_class ORDER BY day))
+SELECT asset_class, day, secid, close, round(exp(sum(ln(f)) OVER (PARTITION BY asset_class ORDER BY day ROWS UNBOUNDED PRECEDING)) * close / first_value(close) OVER (PARTITION BY asset_class ORDER BY day ROWS UNBOUNDED PRECEDING), 5) AS rolled FROM f""")
+def continuous_roll(spark, sf):
+    """A series that follows the most traded instrument of its class; at each switch it is scaled so that it does not jump, and its past never changes."""
+    s = P.table(spark, sf, "moex_candles").where("close > 0 and volume_rub > 0 and not isnan(volume_rub)").select("secid", "dt_msk", "close", "volume_rub").distinct()
+    d = s.groupBy("secid", F.to_date("dt_msk").alias("day")).agg(F.round(F.sum("volume_rub"), 2).alias("vol"), F.max_by("close", "dt_msk").alias("close"))
+    u = d.join(P.table(spark, sf, "moex_universe").select("secid", "asset_class"), "secid")
+    n = u.withColumn("rk", F.row_number().over(Window.partitionBy("asset_class", "day").orderBy(c("vol").desc(), "secid"))).where("rk = 1")
+    w = X.series("asset_class", "day")
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    f = n.withColumn("f", F.when(c("secid") != F.lag("secid").over(w), F.lag("close").over(w) / c("close")).otherwise(1.0))
+    return f.select("asset_class", "day", "secid", "close", F.round(F.exp(F.sum(F.log("f")).over(past)) * c("close") / F.first("close").over(past), 5).alias("rolled"))
+
+
+@query("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' GROUP BY 1, 2")
+def partition_pruned_scan(spark, sf):
+    """A table written by day and read back for three of them; only their folders are listed for reading."""
+    import uuid
+
+    from tideline.session import shared_dir
+
+    path = f"{shared_dir(spark)}/by-day-{uuid.uuid4().hex}"
+    P.table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day")).repartition("day").write.partitionBy("day").parquet(path)
+    return spark.read.parquet(path).where("day between date'2024-01-10' and date'2024-01-12'").groupBy("event_type", "day").agg(F.count("*").alias("n"))
+
+
+@query()
+def matched_random(spark, sf):
+    """As many days per corridor and week as have cheap prices, drawn by a seeded hash."""
+    d = P.daily_panel(spark, sf).withColumn("week", F.date_trunc("week", "day")).withColumn("cheap", (c("price") < 120_000).cast("int"))
+    w = Window.partitionBy("corridor", "week")
+    d = d.withColumn("want", F.sum("cheap").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.xxhash64(F.lit(5), "day"), "day")))
+    return d.where("rn <= want").select("corridor", "day")
+
+
+@query()
+def permutation_test(spark, sf):
+    """Two-sided p-value of the correlation of change and activity under 200 hash-ordered permutations, aggregated by draw."""
+    d = P.daily_panel(spark, sf).where("corridor = '5-LOW'").withColumn("x", X.change(c("price"), DAY())).where("x is not null").select("x", c("n").alias("y"), F.row_number().over(Window.partitionBy("corridor").orderBy("day")).alias("i"))
+    draws = d.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(200))))
+    key = F.when(c("draw") == 0, c("i").cast("long")).otherwise(F.xxhash64("draw", "i"))
+    s = draws.withColumn("j", F.row_number().over(Window.partitionBy("draw").orderBy(key, "i")))
+    pairs = s.select("draw", "i", "x").join(s.select("draw", c("j").alias("i"), "y"), ["draw", "i"])
+    r = pairs.groupBy("draw").agg(F.abs(F.corr("x", "y")).alias("r"))
+    real = F.max(F.when(c("draw") == 0, c("r")))
+    t = r.agg(real.alias("r0"), F.collect_list(F.when(c("draw") > 0, c("r"))).alias("v"))
+    return t.select(c("r0").alias("abs_correlation"), ((1 + F.size(F.filter("v", lambda x: x >= c("r0")))) / (F.size("v") + 1)).alias("p"))
