@@ -14,10 +14,13 @@ from pyspark.sql.types import ArrayType, StringType
 COMMON = (
     "the be is are was were been to of and that have has had with this it in on at by for not no or an as but if when because"
     " from we you they he she i what which who there would should could than then will can only more most about never"
+    " so too also just its their our your us them all any some such after before since while although even into over under said very much how why do does did"
     " и в во не на что с со по то это как а но из за из-за если или у к ко о об от до для же бы мы вы он она они его её их мне нас нам"
     " вряд ли тот кто чем так уже ещё почти при хотя потому чтобы где когда только все всё был была были будет есть нет ничего никто"
+    " без почему однако пока снова перед после через между под над даже лишь тоже также этот эта эти этого этом том тому себя свой ни уж вот там тут здесь который которая которые около всего более менее"
     " va bu buni bilan uchun ham lekin ammo chunki agar haqida emas edi yoki bir biri keyin oldin oldidan nima qanday yana hali juda"
     " ko‘ra deb o‘sha shu esa kerak hech buning ustiga"
+    " men sen u biz siz ular har barcha faqat balki bor yo‘q qachon qayerda kim davomida tomonidan orqali kabi singari hamda biroq garchi shuning"
 )
 # Thresholds of the published rules (word count, mean word length, symbols per word, bullet and ellipsis lines, words with letters, common words).
 RULES = {"words": (50, 100_000), "mean_length": (3.0, 10.0), "symbols": 0.1, "bullets": 0.9, "ellipses": 0.3, "lettered": 0.8, "common": 2}
@@ -44,15 +47,20 @@ def _length(lines: pa.Array) -> np.ndarray:
     return pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _wrapped(block: np.ndarray, length: np.ndarray, marked: np.ndarray) -> np.ndarray:
-    """For each line, whether its block (run of lines between blank ones) is a wrapped paragraph: two lines or more, none marked, all but the last nearly as long as the longest."""
+def _wrapped(block: np.ndarray, length: np.ndarray, head: np.ndarray, marked: np.ndarray, ended: np.ndarray) -> np.ndarray:
+    """For each line, whether its block (run of lines between blank ones) is a wrapped paragraph.
+
+    That takes two lines or more, none marked as an item; nine tenths of them but the last so long that the next line's
+    first word (of length `head`) would not have fitted into the longest line; and, under 45 characters, a sentence's end.
+    """
     starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     sizes = np.diff(np.r_[starts, len(block)])
     longest = np.maximum.reduceat(length, starts)
     last = np.zeros(len(block), bool)
     last[starts + sizes - 1] = True
-    near = (length >= np.repeat(longest, sizes) - 17) | last
-    good = (np.add.reduceat(near.astype(np.int64), starts) >= 0.9 * sizes) & (sizes >= 2) & (longest >= 28) & (np.add.reduceat(marked.astype(np.int64), starts) == 0)
+    tight = (length + 1 + np.r_[head[1:], 0] > np.repeat(longest, sizes)) | last
+    count = lambda v: np.add.reduceat(v.astype(np.int64), starts)
+    good = (count(tight) >= 0.9 * sizes) & (sizes >= 2) & (longest >= 28) & (count(marked) == 0) & ((longest >= 45) | ended[starts + sizes - 1])
     return np.repeat(good, sizes)
 
 
@@ -75,7 +83,7 @@ def line_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
         return {k: zero.copy() for k in ("words", "word_chars", "tokens", "symbols", "lines", "ended", "bullets", "ellipses", "common", "solid", "bad")}
     block = np.cumsum(np.r_[False, (doc[1:] != doc[:-1]) | (gap[1:] != gap[:-1])])
 
-    lines = pc.replace_substring_regex(lines, _ASIDE, "")
+    whole, lines = lines, pc.replace_substring_regex(lines, _ASIDE, "")
     spaces = pc.count_substring(lines, " ").to_numpy(zero_copy_only=False).astype(np.int64)
     tokens, solid = spaces + 1, _length(lines) - spaces
     spread = pc.replace_substring_regex(pc.utf8_lower(lines), r"[^\p{L}\p{M}'’‘ʻʼ-]+", "  ")
@@ -90,13 +98,14 @@ def line_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     bullets = _matches(lines, _MARK)
     dash = _matches(lines, r"^\s*[–—-]\s")
     record = _matches(lines, _RECORD)
-    ended = _matches(lines, r"[.!?…][\"'»”)\]]*$")
+    ended = _matches(whole, r"[.!?…][\"'»”)\]]*$")
     ellipses = _matches(lines, r"(?:\.\.\.|…)$")
     slash = _matches(lines, r" / ")
     sums = lambda v, by, n: np.bincount(by, weights=v, minlength=n)
 
     # Segments: a wrapped paragraph as one, every other line by itself.
-    joined = _wrapped(block, length, (bullets & ~dash) | record)
+    head = _length(pc.replace_substring_regex(whole, r" .*$", ""))
+    joined = _wrapped(block, length, head, (bullets & ~dash) | record, ended)
     seg = np.cumsum(np.r_[False, (block[1:] != block[:-1]) | ~(joined[1:] & joined[:-1])])
     m = int(seg[-1]) + 1
     s = {k: sums(v, seg, m) for k, v in {"solid": solid, "letters": letters, "tokens": tokens, "words": words, "clean": clean, "capitals": capitals, "common": common, "commas": commas, "ended": ended, "mark": bullets, "dash": dash, "record": record, "slash": slash}.items()}
@@ -104,7 +113,7 @@ def line_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     clean_share = s["clean"] / np.maximum(s["tokens"], 1)
     common_share = s["common"] / np.maximum(s["words"], 1)
     long_item = (s["words"] >= 8) & ((s["words"] >= 11) | (s["slash"] == 0))
-    menu = (s["capitals"] > 0.4 * s["words"]) & (common_share < 0.2)
+    menu = (s["capitals"] > 0.4 * s["words"]) & (common_share < 0.35)
     listed = s["commas"] >= np.maximum(3, s["words"] / 3.0)
     running = (
         long_item & (word_share >= 0.5) & (clean_share >= 0.86) & (common_share >= 0.06) & (s["record"] == 0) & ~listed & ~menu
