@@ -15,7 +15,6 @@ CHUNK = 4096  # rows of a source handled together
 SIDE = 5  # neighbours on each side that make up the local level
 HALO = 16  # rows of the adjoining chunks seen beside a chunk: two rounds of SIDE neighbours and more
 MAD = 1.4826  # from median absolute deviation to the standard deviation of a normal variable
-_FIRST = -(2**63)
 
 
 def _median(values: list[Column]) -> Column:
@@ -24,14 +23,20 @@ def _median(values: list[Column]) -> Column:
     return F.get(a, ((F.size(a) - 1) / 2).cast("int"))
 
 
-def _chunked(one: DataFrame, per_block: int) -> DataFrame:
-    """one with the position `pos` of each usable close in its source's order (others share the position before them) and its chunk."""
+def _placed(one: DataFrame, per_block: int) -> DataFrame:
+    """One row per source and time, with the position `pos` of each usable close in its source's order (others share the position before them) and its chunk.
+
+    Rows are ordered once per (source, time block); repeated times are dropped and usable closes counted in that order,
+    and the counts of earlier blocks come from a table of one row a block.
+    """
     width = block_width(one, "us", per_block)
-    rows = one.withColumn("b", block_of(F.col("us"), width)).withColumn("step", F.col("valid").cast("long"))
-    base = before(rows.groupBy("s", "b").agg(F.sum("step").alias("n")), "s", "b", F.sum, "n", "step").select("s", "b", F.lit(_FIRST).cast("long").alias("us"), F.coalesce("step", F.lit(0)).alias("step"))
-    w = Window.partitionBy("s", "b").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
-    pos = rows.unionByName(base, allowMissingColumns=True).withColumn("pos", F.sum("step").over(w)).where(F.col("us") != _FIRST)
-    return pos.drop("step", "b").withColumn("chunk", F.floor(F.col("pos") / CHUNK))
+    w = Window.partitionBy("s", "b").orderBy("us", *[F.col(c).desc_nulls_last() for c in ("at", "c", "wick", "impossible")])
+    rows = one.withColumn("b", block_of(F.col("us"), width)).withColumn("again", F.lag("us").over(w) == F.col("us"))
+    first = rows.where(F.coalesce(~F.col("again"), F.lit(True))).drop("again", "at")
+    local = cut(first.withColumn("valid", F.coalesce(_fine("c"), F.lit(False))).withColumn("pos", F.sum(F.col("valid").cast("long")).over(Window.partitionBy("s", "b").orderBy("us").rowsBetween(Window.unboundedPreceding, 0))))
+    base = before(local.groupBy("s", "b").agg(F.max("pos").alias("n")), "s", "b", F.sum, "n", "base").select("s", "b", F.coalesce("base", F.lit(0)).alias("base"))
+    placed = local.join(base, ["s", "b"]).withColumn("pos", F.col("pos") + F.col("base")).drop("b", "base")
+    return placed.withColumn("chunk", F.floor(F.col("pos") / CHUNK))
 
 
 def _with_halo(v: DataFrame) -> DataFrame:
@@ -41,33 +46,28 @@ def _with_halo(v: DataFrame) -> DataFrame:
     return v.withColumn("home", F.col("chunk")).withColumn("chunk", F.explode(to)).withColumn("own", F.col("home") == F.col("chunk")).drop("home")
 
 
-def _per_chunk(stats: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Statistics of a source repeated for each of its chunks, so that rows meet them by (source, chunk) and no source's rows gather in a task."""
-    return chunks.join(stats, "s")
+def _neighbours(series: DataFrame, x: str) -> DataFrame:
+    """series (with y, the log close) with the levels `before` and `after` and the coordinates u, du, ddu of each point, from the SIDE values of x on either side in its chunk; null values of x are passed over."""
+    w = Window.partitionBy("s", "chunk").orderBy("pos")
+    names = [f"_{side}{i}" for side in "lr" for i in range(SIDE)]
+    shifted = [f(x, i).over(w) for f in (F.lag, F.lead) for i in range(1, SIDE + 1)]
+    seen = series.select("*", *[c.alias(n) for c, n in zip(shifted, names)])
+    left, right = [F.col(n) for n in names[:SIDE]], [F.col(n) for n in names[SIDE:]]
+    back, ahead, y = F.coalesce(*left), F.coalesce(*right), F.col("y")
+    return seen.select(*[F.col(c) for c in series.columns], _median(left).alias("before"), _median(right).alias("after"), (y - _median(left + right)).alias("u"), (y - back).alias("du"), (ahead - 2 * y + back).alias("ddu"))
 
 
-def _round(series: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One pass of phase-space thresholding over (s, chunk, pos, own, us, y, x): y is the log close, x the same or null where flagged before."""
-    w = Window.partitionBy("s", "chunk").orderBy("pos")
-    lags, leads = [F.lag("x", i).over(w) for i in range(1, SIDE + 1)], [F.lead("x", i).over(w) for i in range(1, SIDE + 1)]
-    seen = series.select("*", *[c.alias(f"l{i}") for i, c in enumerate(lags)], *[c.alias(f"r{i}") for i, c in enumerate(leads)])
-    left, right = [F.col(f"l{i}") for i in range(SIDE)], [F.col(f"r{i}") for i in range(SIDE)]
-    back, ahead = F.coalesce(*left), F.coalesce(*right)
-    points = cut(
-        seen.select(
-            "s", "chunk", "pos", "own", "us", "y", "x", _median(left).alias("before"), _median(right).alias("after"),
-            (F.col("y") - _median(left + right)).alias("u"), (F.col("y") - back).alias("du"), (ahead - 2 * F.col("y") + back).alias("ddu"),
-        )
-    )
-    middle = lambda c: (F.percentile_approx(F.when(F.col("x").isNotNull() & (F.col(c) != 0), F.abs(c)), 0.5, 1000) * MAD).alias(f"{c}_scale")
-    stats = cut(points.where("own").groupBy("s").agg(middle("u"), middle("du"), middle("ddu"), F.count("x").alias("n")).withColumn("universal", F.sqrt(2 * F.log(F.greatest("n", F.lit(2))))))
+def _outlying() -> Column:
+    """Whether a point lies outside its source's ellipsoid and, by the exact check, far from the levels on both sides of it."""
     axes = [F.coalesce((F.col(c) / F.col(f"{c}_scale")) ** 2, F.lit(0.0)) for c in ("u", "du", "ddu")]
     outside = reduce(lambda a, b: a + b, axes) > F.col("universal") ** 2
     above, below = [F.coalesce(F.col("y") - F.col(a), F.col("y") - F.col(b)) for a, b in (("before", "after"), ("after", "before"))]
-    far = F.when(above * below > 0, F.least(F.abs(above), F.abs(below))) > 3 * F.col("universal") * F.col("du_scale")
-    judged = points.join(_per_chunk(stats, chunks), ["s", "chunk"], "left")
-    flagged = F.coalesce(outside & far, F.lit(False)) | F.col("x").isNull()
-    return judged.select("s", "chunk", "pos", "own", "us", "y", F.when(~flagged, F.col("y")).alias("x")), stats
+    far = F.when(above * below > 0, F.least(F.abs(above), F.abs(below))) > F.col("limit")
+    return F.coalesce(outside & far, F.lit(False))
+
+
+def _fine(c: str) -> Column:
+    return (F.col(c) > 0) & (F.col(c) < float("inf"))
 
 
 def flag_faults(
@@ -107,37 +107,43 @@ def flag_faults(
     sources with few rows or only equal prices have no spikes; empty tables work; other columns are ignored.
     """
     num = lambda c, a: F.col(c).cast("double").alias(a)
-    one = (
-        candles.where(F.col(source).isNotNull() & F.col(time).isNotNull())
-        .groupBy(F.col(source).alias("s"), micros(F.col(time)).alias("us"))
-        .agg(F.max(F.struct(F.col(latest).alias("at"), num(close, "c"), num(high, "h"), num(low, "l"), num(open, "o"))).alias("v"))
-        .select("s", "us", "v.c", "v.h", "v.l", "v.o")
-    )
-    fine = lambda c: (F.col(c) > 0) & (F.col(c) < float("inf"))
-    placed = cut(_chunked(one.withColumn("valid", F.coalesce(fine("c"), F.lit(False))), per_block))
-    chunks = cut(placed.select("s", "chunk").distinct())
-    closes = placed.where("valid").select("s", "chunk", "pos", "us", F.log("c").alias("y"), F.log("c").alias("x"))
-    first, _ = _round(_with_halo(closes), chunks)
-    second, stats = _round(first, chunks)
-    spikes = second.where("own and x is null").select("s", "us", F.lit("spike").alias("fault"))
-
-    w = Window.partitionBy("s", "chunk").orderBy("pos")
-    moved = _with_halo(placed.where("valid").select("s", "chunk", "pos", "us", "c")).withColumn("moved", F.coalesce((F.col("c") != F.lag("c").over(w)).cast("long"), F.lit(1))).where("own")
-    begun = before(moved.groupBy("s", "chunk").agg(F.sum("moved").alias("n")), "s", "chunk", F.sum, "n", "base").select("s", "chunk", "base")
-    runs = cut(moved.join(begun, ["s", "chunk"]).select("s", "chunk", "us", (F.coalesce("base", F.lit(0)) + F.sum("moved").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("run")))
-    lengths = runs.groupBy("s", "run").agg((F.count("*") - 1).alias("repeats"), F.min("us").alias("begin"))
-    usual = lengths.groupBy("s").agg(F.percentile_approx("repeats", 0.97, 1000).alias("usual"))
-    long = lengths.where(F.col("repeats") >= least_repeats).join(usual, "s").where(F.col("repeats") >= least_repeats + repeats_over_usual * F.greatest(F.col("usual") - 1, F.lit(0)))
-    stuck = runs.join(long.select("s", "run", "begin"), ["s", "run"]).where("us > begin").select("s", "us", F.lit("stuck").alias("fault"))
-
-    bad = lambda c: F.coalesce(F.col(c).isNotNull() & ~fine(c), F.lit(False))
-    trio = F.coalesce(F.col("h") < F.col("l"), F.lit(False)) | F.coalesce(F.col("c") > F.col("h"), F.lit(False)) | F.coalesce(F.col("c") < F.col("l"), F.lit(False))
-    good = lambda c: F.when(fine(c), F.log(c))
-    over, under = good("h") - F.greatest(good("o"), good("c")), F.least(good("o"), good("c")) - good("l")
-    limit = 3 * F.col("universal") * F.col("du_scale")
-    checked = placed.join(_per_chunk(stats.select("s", "universal", "du_scale"), chunks), ["s", "chunk"], "left")
-    wick = F.coalesce(F.greatest(over, under) > limit, F.lit(False))
-    flags = checked.select("s", "us", wick.alias("wick"), (bad("c") | bad("h") | bad("l") | trio).alias("impossible"))
-    found = spikes.unionByName(stuck).groupBy("s", "us").agg(F.bool_or(F.col("fault") == "spike").alias("spike"), F.bool_or(F.col("fault") == "stuck").alias("stuck"))
-    out = flags.join(found, ["s", "us"], "left")
-    return out.select(F.col("s").alias("source"), "us", *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("spike", "wick", "stuck", "impossible")])
+    raw = candles.where(F.col(source).isNotNull() & F.col(time).isNotNull()).select(F.col(source).alias("s"), micros(F.col(time)).alias("us"), F.col(latest).alias("at"), num(close, "c"), num(high, "h"), num(low, "l"), num(open, "o"))
+    # What high and low say is settled per row, so that only one number and one flag travel on.
+    bad = lambda c: F.coalesce(F.col(c).isNotNull() & ~_fine(c), F.lit(False))
+    holds = lambda cond: F.coalesce(cond, F.lit(False))
+    trio = holds(F.col("h") < F.col("l")) | holds(F.col("c") > F.col("h")) | holds(F.col("c") < F.col("l"))
+    good = lambda c: F.when(_fine(c), F.log(c))
+    beyond = F.greatest(good("h") - F.greatest(good("o"), good("c")), F.least(good("o"), good("c")) - good("l"))
+    one = raw.select("s", "us", "at", "c", beyond.alias("wick"), (bad("c") | bad("h") | bad("l") | trio).alias("impossible"))
+    placed = _placed(one, per_block)
+
+    own = Window.partitionBy("s", "chunk").orderBy("pos")
+    series = _with_halo(placed.where("valid").select("s", "chunk", "pos", "us", "c", "wick", "impossible")).withColumn("y", F.log("c"))
+    moved = F.coalesce((F.col("c") != F.lag("c").over(own)).cast("long"), F.lit(1))
+    points = _neighbours(series, "y").withColumn("moved", F.when(F.col("own"), moved).otherwise(0))
+    points = cut(points.withColumn("run", F.sum("moved").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("c"))
+
+    middle = lambda c: (F.percentile_approx(F.when(F.col(c) != 0, F.abs(c)), 0.5, 1000) * MAD).alias(f"{c}_scale")
+    mine = points.where("own")
+    stats = mine.groupBy("s").agg(middle("u"), middle("du"), middle("ddu"), F.count("y").alias("n")).withColumn("universal", F.sqrt(2 * F.log(F.greatest("n", F.lit(2))))).withColumn("limit", 3 * F.col("universal") * F.col("du_scale")).drop("n")
+    per_chunk = mine.groupBy("s", "chunk").agg(F.sum("moved").alias("n"))
+    known = cut(before(per_chunk, "s", "chunk", F.sum, "n", "base").select("s", "chunk", F.coalesce("base", F.lit(0)).alias("base")).join(stats, "s"))
+
+    judged = points.join(known, ["s", "chunk"]).withColumn("x", F.when(~_outlying(), F.col("y")))
+    again = _neighbours(judged.drop("before", "after", "u", "du", "ddu"), "x").where("own")
+    wicked = F.coalesce(F.col("wick") > F.col("limit"), F.lit(False)).alias("wick")
+    flags = again.select("s", "us", (F.col("x").isNull() | _outlying()).alias("spike"), wicked, "impossible", "moved", (F.col("run") + F.col("base")).alias("run"))
+
+    repeats = mine.where("moved = 0").select("s", "chunk", "run").join(known.select("s", "chunk", "base"), ["s", "chunk"]).groupBy("s", (F.col("run") + F.col("base")).alias("run")).agg(F.count("*").alias("repeats"))
+    repeats = cut(repeats)
+    runs = per_chunk.groupBy("s").agg(F.sum("n").alias("runs"))
+    lengths = repeats.groupBy("s", "repeats").agg(F.count("*").alias("k"))
+    none = runs.join(repeats.groupBy("s").agg(F.count("*").alias("some")), "s", "left").select("s", F.lit(0).cast("long").alias("repeats"), (F.col("runs") - F.coalesce("some", F.lit(0))).alias("k"))
+    usual = lengths.unionByName(none.where("k > 0")).groupBy("s").agg(F.percentile("repeats", F.lit(0.97), F.col("k")).alias("usual"))
+    long = repeats.where(F.col("repeats") >= least_repeats).join(usual, "s").where(F.col("repeats") >= least_repeats + repeats_over_usual * F.greatest(F.col("usual") - 1, F.lit(0.0))).select("s", "run", F.lit(True).alias("long"))
+    stuck = F.coalesce(F.col("long"), F.lit(False)) & (F.col("moved") == 0)
+    usable = flags.join(long, ["s", "run"], "left").select(F.col("s").alias("source"), "us", "spike", "wick", stuck.alias("stuck"), "impossible")
+
+    other = placed.where("not valid").join(known.select("s", "chunk", "limit"), ["s", "chunk"], "left")
+    rest = other.select(F.col("s").alias("source"), "us", F.lit(False).alias("spike"), wicked, F.lit(False).alias("stuck"), "impossible")
+    return usable.unionByName(rest)
