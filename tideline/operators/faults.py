@@ -91,8 +91,8 @@ def flag_faults(
     sqrt(2 ln n) times the robust scale of each coordinate in that source are candidates. A candidate is a spike if an
     exact check finds it further than three universal thresholds, in units of the source's first differences, from the
     level before it and from the level after it, on the same side of both; so a lasting change of level is none. A second
-    round repeats this with the spikes of the first taken out of levels and scales. Scales are median absolute
-    deviations over differences other than zero.
+    round repeats this with the spikes of the first taken out of the levels. Scales are median absolute deviations over
+    differences other than zero, which the few spikes hardly move, so both rounds share them.
     wick: high or low lies that far beyond both open and close.
     stuck: the close repeats the preceding one in a run of at least least_repeats repeats, and repeats_over_usual more
     for every repeat over one that the 97th percentile of the source's runs has (single prices count as runs of
