@@ -187,3 +187,17 @@ def test_quality_verdicts_and_statistics(spark):
     assert got[len(PROSE)]["bullet_line_share"] == 1.0 and "bullets" in got[len(PROSE)]["reasons"]
     assert got[len(texts) - 1]["word_count"] == 60000 and got[len(texts) - 1]["is_prose"] is True
     assert text_quality(df.limit(0)).count() == 0
+
+
+def test_quality_counts_bracketed_figures_and_codes(spark):
+    prose = "The bar had recovered by the end of the week (162.62, 210.86 / 2939 MTL3175; +8.5%), and that was all."
+    rows = "\n".join(f"({i}, 45.3, USD)" for i in range(40))
+    texts = [prose, rows, f"{prose}\n\n{rows}", "(1) fee\n(2) bar"]
+    got = [x for x in text_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [x["is_prose"] for x in got] == [True, False, False, False]
+    assert [x["word_count"] for x in got] == [15, 40, 55, 2]
+    assert abs(got[0]["symbol_share"] - 1 / 15) < 1e-9
+    assert got[1]["mean_word_length"] == 3 and got[1]["unprose_share"] == 1 and "not_running_text" in got[1]["reasons"]
+    solid = len(prose.replace(" ", "")), len("".join(rows.split()))
+    assert abs(got[2]["unprose_share"] - solid[1] / sum(solid)) < 1e-9
+    assert got[3]["bullet_line_share"] == 1

@@ -47,6 +47,19 @@ def _length(lines: pa.Array) -> np.ndarray:
     return pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _counts(lines: pa.Array) -> dict[str, np.ndarray]:
+    """What is counted of each line's characters, words and tokens."""
+    spaces = pc.count_substring(lines, " ").to_numpy(zero_copy_only=False).astype(np.int64)
+    spread = pc.replace_substring_regex(pc.utf8_lower(lines), r"[^\p{L}\p{M}'’‘ʻʼ-]+", "  ")
+    spread = pc.binary_join_element_wise(_SPACE, pc.utf8_trim_whitespace(spread), _SPACE, _NOTHING)  # " word  word "
+    words = np.where(_length(spread) > 2, pc.count_substring(spread, "  ").to_numpy(zero_copy_only=False).astype(np.int64) + 1, 0)
+    return {
+        "solid": _length(lines) - spaces, "tokens": spaces + 1, "words": words, "letters": np.maximum(_length(spread) - 2 * np.maximum(words, 1), 0),
+        "clean": _count(lines, _CLEAN), "capitals": _count(lines, r"(?:^|[^\p{L}\p{M}'’‘ʻʼ-])\p{Lu}"), "common": _count(spread, " (?:" + "|".join(COMMON.split()) + ") "),
+        "commas": _count(lines, r"[,;|/\t]"), "slash": _count(lines, " / "),
+    }
+
+
 def _wrapped(block: np.ndarray, length: np.ndarray, head: np.ndarray, marked: np.ndarray, ended: np.ndarray) -> np.ndarray:
     """For each line, whether its block (run of lines between blank ones) is a wrapped paragraph.
 
@@ -83,32 +96,28 @@ def line_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
         return {k: zero.copy() for k in ("words", "word_chars", "tokens", "symbols", "lines", "ended", "bullets", "ellipses", "common", "solid", "bad")}
     block = np.cumsum(np.r_[False, (doc[1:] != doc[:-1]) | (gap[1:] != gap[:-1])])
 
-    whole, lines = lines, pc.replace_substring_regex(lines, _ASIDE, "")
-    spaces = pc.count_substring(lines, " ").to_numpy(zero_copy_only=False).astype(np.int64)
-    tokens, solid = spaces + 1, _length(lines) - spaces
-    spread = pc.replace_substring_regex(pc.utf8_lower(lines), r"[^\p{L}\p{M}'’‘ʻʼ-]+", "  ")
-    spread = pc.binary_join_element_wise(_SPACE, pc.utf8_trim_whitespace(spread), _SPACE, _NOTHING)  # " word  word "
-    words = np.where(_length(spread) > 2, pc.count_substring(spread, "  ").to_numpy(zero_copy_only=False).astype(np.int64) + 1, 0)
-    letters = np.maximum(_length(spread) - 2 * np.maximum(words, 1), 0)
-    clean = _count(lines, _CLEAN)
-    capitals = _count(lines, r"(?:^|[^\p{L}\p{M}'’‘ʻʼ-])\p{Lu}")
-    common = _count(spread, " (?:" + "|".join(COMMON.split()) + ") ")
+    counts = _counts(lines)
     symbols = _count(lines, r"[#*=_~^|<>{}\\$@+]|\.\.\.|…")
-    commas = _count(lines, r"[,;|/\t]")
     bullets = _matches(lines, _MARK)
     dash = _matches(lines, r"^\s*[–—-]\s")
     record = _matches(lines, _RECORD)
-    ended = _matches(whole, r"[.!?…][\"'»”)\]]*$")
+    ended = _matches(lines, r"[.!?…][\"'»”)\]]*$")
     ellipses = _matches(lines, r"(?:\.\.\.|…)$")
-    slash = _matches(lines, r" / ")
     sums = lambda v, by, n: np.bincount(by, weights=v, minlength=n)
 
+    # Whether a sentence runs is judged without its asides; a line that has no word besides them doesn't run.
+    aside = _matches(lines, _ASIDE)
+    plain = {k: v.copy() for k, v in counts.items()}
+    for k, v in _counts(pc.utf8_trim_whitespace(pc.replace_substring_regex(lines.filter(pa.array(aside)), _ASIDE, ""))).items():
+        plain[k][aside] = v
+    bare = aside & (plain["words"] == 0)
+
     # Segments: a wrapped paragraph as one, every other line by itself.
-    head = _length(pc.replace_substring_regex(whole, r" .*$", ""))
+    head = _length(pc.replace_substring_regex(lines, r" .*$", ""))
     joined = _wrapped(block, length, head, (bullets & ~dash) | record, ended)
     seg = np.cumsum(np.r_[False, (block[1:] != block[:-1]) | ~(joined[1:] & joined[:-1])])
     m = int(seg[-1]) + 1
-    s = {k: sums(v, seg, m) for k, v in {"solid": solid, "letters": letters, "tokens": tokens, "words": words, "clean": clean, "capitals": capitals, "common": common, "commas": commas, "ended": ended, "mark": bullets, "dash": dash, "record": record, "slash": slash}.items()}
+    s = {k: sums(v, seg, m) for k, v in (plain | {"mark": bullets, "dash": dash, "record": record}).items()}
     word_share = s["letters"] / np.maximum(s["solid"], 1)
     clean_share = s["clean"] / np.maximum(s["tokens"], 1)
     common_share = s["common"] / np.maximum(s["words"], 1)
@@ -119,12 +128,11 @@ def line_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
         long_item & (word_share >= 0.5) & (clean_share >= 0.86) & (common_share >= 0.06) & (s["record"] == 0) & ~listed & ~menu
         & ((s["mark"] == 0) | (s["dash"] > 0) | (s["words"] >= 14))
     )
-    bad = np.where(running, 0.0, s["solid"])
-    seg_doc = doc[np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])]
+    bad = np.where(running[seg] & ~bare, 0, counts["solid"])
     add = lambda v: sums(v, doc, n_docs)
     return {
-        "words": add(words), "word_chars": add(letters), "tokens": add(tokens), "symbols": add(symbols), "lines": add(np.ones(len(doc))),
-        "ended": add(ended), "bullets": add(bullets), "ellipses": add(ellipses), "common": add(common), "solid": add(solid), "bad": sums(bad, seg_doc, n_docs),
+        "words": add(counts["words"]), "word_chars": add(counts["letters"]), "tokens": add(counts["tokens"]), "symbols": add(symbols), "lines": add(np.ones(len(doc))),
+        "ended": add(ended), "bullets": add(bullets), "ellipses": add(ellipses), "common": add(counts["common"]), "solid": add(counts["solid"]), "bad": add(bad),
     }
 
 
@@ -153,7 +161,8 @@ def text_quality(documents: DataFrame, *, item: str = "doc_id", text: str = "tex
     than two common words. Those rules tell what is odd about a text; the verdict follows 'not_running_text': more than half
     of the characters lie in segments that are no running sentences. A segment is a wrapped paragraph or else a line; it
     runs if it has eight words or more, mostly letters, words in one script, common words of a known language, and is no
-    list item, row or record.
+    list item, row or record. Whether it runs is judged without bracketed figures and codes, which count in all else; a line
+    with nothing beside them does not run.
 
     Documents are independent: no row moves between tasks. Defined cases: null, empty and blank texts have zero
     statistics, fail 'few_words' and 'common_words', and count as prose, as nothing in them is not; texts of any length are
