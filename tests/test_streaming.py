@@ -1,10 +1,14 @@
 """Streams against their batch forms, late rows included."""
 
 import datetime as dt
+import json
+import pathlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators.expanding import expanding_quantiles
+from tideline.queries import models, registry  # noqa: F401
 from tideline.streaming import flows
 
 T = dt.datetime(2026, 1, 1)
@@ -61,3 +65,22 @@ def test_state_carries_over_batches(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     got = flows.run_to_table(flows.policy_stream(s, cooldown_days=3, cap=2), "kept", str(tmp_path / "c")).collect()
     assert sorted(x["at"].day for x in got) == [5, 8, 12]
+
+
+@pytest.mark.parametrize("name", ["stream_policy", "stream_hourly_news"])
+def test_registered_streams_take_files_in_order_of_time(spark, sf, monkeypatch, name):
+    seen = {}
+    run = flows.run_to_table
+
+    def watched(stream, table, checkpoint, mode="append"):
+        seen.update(checkpoint=checkpoint.removeprefix("file://"), mode=mode)
+        return run(stream, table, checkpoint, mode)
+
+    monkeypatch.setattr(flows, "run_to_table", watched)
+    assert registry.QUERIES[name](spark, sf).count() > 0
+    offsets = sorted((p for p in pathlib.Path(seen["checkpoint"], "sources/0").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    files = [json.loads(x)["path"] for p in offsets for x in p.read_text().splitlines()[1:]]
+    assert len(offsets) == 8 and seen["mode"] == "append"
+    at = "at" if name == "stream_policy" else "ts"
+    spans = [spark.read.parquet(f).agg(F.min(at), F.max(at)).first() for f in files]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
