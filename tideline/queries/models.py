@@ -50,20 +50,22 @@ def knn_analog(spark, sf):
 
 @query()
 def hazard(spark, sf):
-    """Probability that no better price comes in five steps, of each corridor's last year by the years before."""
+    """Probability that no better price comes in five steps, of each year by the earlier rows whose five steps were over; years with fewer than 60 such rows have none."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("day").reset_index(drop=True)
-        last = pd.to_datetime(pdf["day"]).dt.year.max()
-        test = (pd.to_datetime(pdf["day"]).dt.year == last).to_numpy()
-        train = np.flatnonzero(~test)[:-5]
-        train = train[pdf["step"].to_numpy()[train] > 0]
-        if len(train) < 60:
-            return pd.DataFrame({"corridor": [], "day": [], "survival": []})
-        x = pdf[FEATURES].to_numpy(float)
-        ready = M.Prepared(x[train])
-        s = M.hazard_score(ready(x[train]), pdf["step"].to_numpy()[train], ready(x[test]), 5)
-        return pd.DataFrame({"corridor": pdf["corridor"][test], "day": pdf["day"][test], "survival": s})
+        x, step = pdf[FEATURES].to_numpy(float), pdf["step"].to_numpy()
+        years = pd.to_datetime(pdf["day"]).dt.year.to_numpy()
+        survival = np.full(len(pdf), np.nan)
+        for year in np.unique(years):
+            at = np.flatnonzero(years == year)
+            train = np.arange(max(0, at[0] - 5))
+            train = train[step[train] > 0]
+            if len(train) < 60:
+                continue
+            ready = M.Prepared(x[train])
+            survival[at] = M.hazard_score(ready(x[train]), step[train], ready(x[at]), 5)
+        return pd.DataFrame({"corridor": pdf["corridor"], "day": pdf["day"], "survival": survival}).dropna(subset="survival")
 
     return _features(spark, sf).groupBy("corridor").applyInPandas(run, "corridor string, day date, survival double")
 
