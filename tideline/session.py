@@ -47,3 +47,8 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def partitions(spark: SparkSession) -> int:
+    """Number of partitions for exchanges whose tasks compute much for few bytes; adaptive coalescing, which goes by bytes, leaves a given number alone."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
