@@ -109,10 +109,11 @@ def test_mixing_reaches_targets_or_says_what_it_reached(spark):
     items += [(10**6, None, 5), (10**6 + 1, "unknown", 5), (10**6 + 2, "big", None), (None, "big", 5)]
     df = spark.createDataFrame(items, "doc_id long, source string, tokens int").withColumn("copies", F.lit("clash"))
     targets = spark.createDataFrame([("big", 0.5, 2), ("small_set", 0.4, 3), ("absent", 0.1, 2), (None, 0.3, 1), ("zero", 0.0, 5)], "source string, target_share double, max_repeats int")
-    selection, shares = mix(df, targets)
+    selection, shares = mix(df, targets, total=200_000.0)
     got = {x["source"]: x for x in shares.collect()}
     assert set(got) == {"big", "small_set", "absent"} and got["absent"]["reached_share"] == 0
-    assert abs(got["big"]["reached_share"] - 0.5 / 0.9) < 0.002 and abs(got["small_set"]["reached_share"] - 0.4 / 0.9) < 0.002
+    assert abs(got["big"]["drawn"] - 100_000) < 50 and got["small_set"]["drawn"] == 3 * got["small_set"]["available"] < 80_000
+    assert abs(sum(x["reached_share"] for x in got.values()) - 1) < 1e-9
     rows = selection.toPandas()
     assert (rows.loc[rows.source == "big", "copies"] <= 2).all() and (rows.loc[rows.source == "small_set", "copies"] == 3).all()
     assert rows.doc.is_unique and 10**6 not in set(rows.doc)
@@ -128,6 +129,21 @@ def test_mixing_reaches_targets_or_says_what_it_reached(spark):
     assert [x[0] for x in spark.createDataFrame([(" A-b ",), ("A  B",), ("",), (None,)], "s string").select(plain_source(F.col("s"))).collect()] == ["a_b", "a_b", None, None]
 
 
+def test_a_scarce_source_falls_short_alone(spark):
+    """Three documents in one source leave the draws of the others as they were, and thousands of sources are a table like any other."""
+    items = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 5000).alias("source"), (1 + F.col("id") % 7).alias("tokens"))
+    scarce = spark.createDataFrame([(10**6 + i, "tiny", 4) for i in range(3)], "doc_id long, source string, tokens long")
+    shares = spark.range(5000).select(F.concat(F.lit("s"), F.col("id")).alias("source"), F.lit(0.9 / 5000).alias("target_share"), F.lit(2).alias("max_repeats"))
+    tiny = spark.createDataFrame([("tiny", 0.1, 5)], "source string, target_share double, max_repeats int")
+    a, _ = mix(items, shares, total=100_000.0)
+    b, report = mix(items.unionByName(scarce), shares.unionByName(tiny), total=100_000.0)
+    assert a.where("copies > 2").count() == 0 and a.select("source").distinct().count() > 4900
+    others = b.where("source <> 'tiny'")
+    assert others.count() == a.count() and others.exceptAll(a).count() == 0
+    x = report.where("source = 'tiny'").first()
+    assert x["drawn"] == 60 and x["budget"] == 60 and x["reached_share"] < 0.001
+
+
 def test_mixing_draws_the_prefix_of_the_hash_order(spark):
     df = spark.createDataFrame([(i, "s", 1 + i % 9) for i in range(20000)], "doc_id long, source string, tokens int")
     targets = spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int")

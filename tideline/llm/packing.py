@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tideline.session import cut
 
 
+MAX_PACKS = 1000  # packs are a small table whose rows become literals
+
+
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The bin number of each size, placed in order by the sum-of-squares rule.
 
@@ -80,15 +83,18 @@ def pack(
     one remainder; every other item and every remainder is placed whole, by the sum-of-squares rule, in the order of a hash of
     its id. Groups of about per_group pieces are packed independently, as many as the pieces need. The pieces of
     containers filled to less than reopen_below (what a group leaves open at its end) are then packed once more, together
-    with those of other groups, again in groups of about per_group. `filled` is the container's total size.
+    with those of other groups, again in groups of about per_group; a single group is left as it is: there are no
+    open containers of other groups to fill up. `filled` is the container's total size.
 
     Only (id, size) rows are moved. Defined cases: items of null or no size come out with a null container and size 0; items
     with the same id and rows repeated are items of their own; packs with null or non-positive capacity take nothing;
     of packs with the same name the largest capacity holds; empty tables give an empty result; other columns are ignored.
     """
     limits = packs.where((F.col(capacity) > 0) & F.col(name).isNotNull()).groupBy(F.col(name).alias("pack_name")).agg(F.max(F.col(capacity)).cast("int").alias("capacity"))
-    # One row a pack: an array of them beside each item stands for the five-fold output every item has anyway.
-    rows = limits.collect()
+    # One row a pack: an array of them beside each item stands for the output that every item has in each pack anyway.
+    rows = limits.limit(MAX_PACKS + 1).collect()
+    if len(rows) > MAX_PACKS:
+        raise ValueError(f"more than {MAX_PACKS} packs")
     sized = items.select(F.col(item).alias("doc"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("total"))
     schema = "pack_name string, doc {}, piece long, start long, size long, container string, filled long".format(sized.schema["doc"].dataType.simpleString())
     if not rows:

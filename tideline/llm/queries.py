@@ -38,6 +38,7 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """As much is drawn as the targeted sources hold in all; a source with less than its share of that is repeated, and at its most repeats falls short."""
     return mix(count_tokens(table(spark, sf, "documents"), keep=["doc_id", "source"]), table(spark, sf, "mix_targets"))
 
 
