@@ -126,7 +126,7 @@ def by_hand(text, zone, order):
     if off is not None:
         return us(wall) - off * 60_000_000
     try:
-        local = wall.replace(tzinfo=ZoneInfo(tz), fold=0)
+        local = wall.replace(tzinfo=ZoneInfo(tz), fold=int(text.rstrip().endswith("MSK")))
     except Exception:
         return None
     back = local.astimezone(UTC).astimezone(ZoneInfo(tz)).replace(tzinfo=None)
@@ -153,6 +153,10 @@ def test_stamps_against_a_second_reader(spark):
         ("03/04/05", "york", "2005-03-04 05:00:00", "ok"),
         ("03/04/05", "berlin", "2005-04-02 22:00:00", "ok"),
         ("2013-07-01 12:00 MSK", "york", "2013-07-01 08:00:00", "ok"),
+        ("2014-10-26 01:30 MSK", "york", "2014-10-25 22:30:00", "ok"),
+        ("2014-10-26 01:30 Europe/Moscow", "york", "2014-10-25 21:30:00", "ok"),
+        ("2014-10-26 00:30 MSK", "york", "2014-10-25 20:30:00", "ok"),
+        ("2014-10-26 02:30 MSK", "york", "2014-10-25 23:30:00", "ok"),
         ("12:30", "berlin", None, "unreadable"),
         ("2021-02-29", "berlin", None, "impossible"),
         ("2020-02-29", "berlin", "2020-02-28 23:00:00", "ok"),

@@ -17,10 +17,11 @@ MONTHS = {
     "января": 1, "февраля": 2, "марта": 3, "апреля": 4, "мая": 5, "июня": 6, "июля": 7, "августа": 8, "сентября": 9,
     "октября": 10, "ноября": 11, "декабря": 12,
 }
-# Minutes east of Greenwich of abbreviations that always mean one offset.
+# Minutes east of Greenwich of abbreviations that name one offset; those of America are read as such (CST is no Chinese time here).
 OFFSETS = {"Z": 0, "UTC": 0, "GMT": 0, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "PST": -480, "PDT": -420}
-# Abbreviations whose offset followed the rules of a region.
-REGIONS = {"MSK": "Europe/Moscow"}
+# Abbreviations whose offset followed the rules of a region, and the minutes east they name today, which
+# hold in an hour that the region's clock showed twice (both of 2014-10-26 01:30 were Moscow's; MSK is UTC+3 since the second).
+REGIONS = {"MSK": ("Europe/Moscow", 180)}
 
 # One alternation over every format; each component has its own group name.
 _YEAR_FIRST = r"(?<ya>\d{4})(?<sa>[-/.])(?<ma>\d{1,2})\k<sa>(?<da>\d{1,2})"
@@ -75,7 +76,8 @@ def parse_instants(df: DataFrame, text: Column, zone: Column, order: Column) ->
 
     A text with its own offset, zone or instant is read so, an offset before a bracketed zone; all other text is wall
     time in `zone`. Numeric dates that do not begin with a four-digit year follow `order` ('dmy' or 'mdy'); two-digit
-    years lie in 2000-2099; a date alone is the start of its day; wall time shown twice means the earlier instant;
+    years lie in 2000-2099; a date alone is the start of its day; wall time shown twice means the earlier instant, but with an
+    abbreviation of REGIONS the one at the offset that names today;
     digits finer than a microsecond are dropped. Integers of 10, 13, 16 and 19 digits count seconds, milli-, micro- and
     nanoseconds since 1970; 8, 12 and 14 digits are compact dates.
 
@@ -107,7 +109,8 @@ def parse_instants(df: DataFrame, text: Column, zone: Column, order: Column) ->
     hour = F.when(g("half") == "", g("h")).when(g("h").between(1, 12), g("h") % 12 + F.when(g("half") == "p", 12).otherwise(0))
     east = F.substring(g("digits"), 1, 2).try_cast("long") * 60 + F.coalesce(F.nullif(F.substring(g("digits"), 3, 2), F.lit("")).try_cast("long"), F.lit(0))
     offset = F.when(g("signed"), F.when(east <= 18 * 60, F.when(g("z").startswith("-"), -east).otherwise(east))).otherwise(F.try_element_at(mapping(OFFSETS), F.upper(g("z"))).cast("long"))
-    named = F.when(g("z").isNull(), g("feed_zone")).when(~g("signed"), F.coalesce(F.try_element_at(mapping(REGIONS), F.upper(g("z"))), g("z")))
+    named = F.when(g("z").isNull(), g("feed_zone")).when(~g("signed"), F.coalesce(F.try_element_at(mapping({k: v[0] for k, v in REGIONS.items()}), F.upper(g("z"))), g("z")))
+    today = F.when(~g("signed"), F.try_element_at(mapping({k: v[1] for k, v in REGIONS.items()}), F.upper(g("z"))).cast("long"))
     long = lambda n: F.lit(n).cast("long")
     count = g("e").try_cast("long")
     epoch = (
@@ -118,11 +121,12 @@ def parse_instants(df: DataFrame, text: Column, zone: Column, order: Column) ->
     wall = days_from_civil(g("y"), g("m"), g("d")) * long(DAY_US) + (hour * 3600 + g("i") * 60 + g("s")) * long(1_000_000) + g("f")
     placed = F.struct(
         g("hit").alias("hit"), g("blank").alias("blank"), g("e").isNotNull().alias("is_epoch"), epoch.alias("epoch"), (g("m").isNotNull() & g("d").isNotNull()).alias("dated"),
-        F.coalesce(right, F.lit(False)).alias("right"), F.when(right, wall).alias("wall"), offset.alias("off"), F.when(named.isin(sorted(zoneinfo.available_timezones())), named).alias("zone"),
+        F.coalesce(right, F.lit(False)).alias("right"), F.when(right, wall).alias("wall"), offset.alias("off"), F.when(named.isin(sorted(zoneinfo.available_timezones())), named).alias("zone"), (wall - today * long(60_000_000)).alias("as_today"),
     )
     third = _settled(second, placed, "_placed")
     p = lambda k: F.col(f"_placed.{k}")
-    utc = F.to_utc_timestamp(F.timestamp_micros(p("wall")), p("zone"))
+    early, late = F.to_utc_timestamp(F.timestamp_micros(p("wall")), p("zone")), F.timestamp_micros(p("as_today"))
+    utc = F.when(F.from_utc_timestamp(late, p("zone")) == F.timestamp_micros(p("wall")), late).otherwise(early)
     fourth = _settled(third, F.struct(F.unix_micros(utc).alias("utc"), (F.from_utc_timestamp(utc, p("zone")) == F.timestamp_micros(p("wall"))).alias("shown")), "_zoned")
     status = (
         F.when(p("blank"), "no_text").when(~p("hit"), "unreadable").when(p("is_epoch"), F.when(p("epoch").isNotNull(), "ok").otherwise("unreadable"))
