@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.blocks import before, block_of, block_width
+from tideline.blocks import before, hot_blocks
 from tideline.session import cut
 
 
@@ -28,46 +28,56 @@ def as_known(
     microseconds; null on either side means never.
 
     A version begins with each release that exceeds all earlier ones by `rank`; its number is the cumulative count of
-    such changes. Numbers are assigned over narrow rows (entity, microseconds, rank) only: distinct event times are
-    counted against the changes, then events meet wide attributes by an equi-join on entity and number. Time blocks keep
-    any one entity's history from gathering in a task: the greatest rank and the number of changes of each block are
-    carried into the later blocks by a window over one row a block.
+    such changes. Numbers are assigned over narrow rows (entity, microseconds, rank) only: in one order per entity, distinct
+    event times are counted against the changes. Numbered times then meet wide attributes by an equi-join on entity and number,
+    and events by one on entity and time. An entity of more than per_block narrow rows is cut into blocks of time, into
+    which the greatest rank and the number of changes of earlier blocks are carried by a window over one row a block.
 
     Defined cases: no event row is lost or repeated; releases with a null rank part, entity or eligible_us are never in
     force; of releases equal in all of `rank`, the greatest attributes hold; repeated rows change nothing; null
     attributes are carried as null; empty tables work on either side; columns of the same name in both tables do not
     clash, since attributes get the prefix.
     """
-    ranked = F.struct(*[F.col(c) for c in rank])
-    usable = F.lit(True)
+    ranks = [f"_r{i}" for i in range(len(rank))]
+    usable = F.col(entity).isNotNull()
     for c in rank:
         usable &= F.col(c).isNotNull()
-    rel = releases.where(usable & F.col(entity).isNotNull()).select(F.col(entity).alias("e"), eligible_us.cast("long").alias("us"), ranked.alias("r")).where("us is not null").distinct()
+    known = releases.where(usable)
+    parts = [F.col(c).alias(k) for c, k in zip(rank, ranks)]
+    rel = known.select(F.col(entity).alias("e"), eligible_us.cast("long").alias("us"), *parts).where("us is not null").distinct()
     asked = events.select(F.col(entity).alias("e"), event_us.cast("long").alias("us")).where("e is not null and us is not null").distinct()
-    none = F.lit(None).cast(rel.schema["r"].dataType)
-    narrow = cut(rel.unionByName(asked.withColumn("r", none)))
-    width = block_width(narrow, "us", per_block)
-    rows = narrow.withColumn("b", block_of(F.col("us"), width))
+    ranked = F.struct(*ranks)
+    narrow = rel.select("e", "us", ranked.alias("r"))
+    narrow = narrow.unionByName(asked.withColumn("r", F.lit(None).cast(narrow.schema["r"].dataType)))
+    rows, some_hot = hot_blocks(narrow, "e", "us", per_block)
+    if some_hot:
+        best = before(rows.where("b >= 0").groupBy("e", "b").agg(F.max("r").alias("best")), "e", "b", F.max, "best", "carried")
+        rows = rows.join(best.select("e", "b", "carried"), ["e", "b"], "left")
+    else:
+        rows = rows.withColumn("carried", F.lit(None).cast(narrow.schema["r"].dataType))
 
-    best = before(rows.groupBy("e", "b").agg(F.max("r").alias("best")), "e", "b", F.max, "best", "carried")
-    first = F.lit(-(2**63)).cast("long")
-    headed = rows.select("e", "b", "us", "r").unionByName(best.select("e", "b", first.alias("us"), F.col("carried").alias("r")))
-    earlier = Window.partitionBy("e", "b").orderBy("us", "r").rowsBetween(Window.unboundedPreceding, -1)
-    # Within equal microseconds lower ranks come first, and asking rows, whose rank is null, before them; a RANGE frame counts for these below.
-    so_far = F.max("r").over(earlier)
-    marked = headed.withColumn("change", (F.col("us") != first) & F.col("r").isNotNull() & (so_far.isNull() | (F.col("r") > so_far)))
-    marked = cut(marked.where(F.col("us") != first).select("e", "b", "us", "r", F.col("change").cast("long").alias("change")))
+    # Ranks ascend within equal microseconds, and event times, whose rank is null, come after them.
+    w = Window.partitionBy("e", "b").orderBy("us", F.col("r").asc_nulls_last())
+    so_far = F.greatest(F.max("r").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("carried"))
+    change = (F.col("r").isNotNull() & (F.col("so_far").isNull() | (F.col("r") > F.col("so_far")))).cast("long")
+    marked = rows.withColumn("so_far", so_far).withColumn("change", change)
+    numbered = marked.select("e", "b", "us", "r", "change", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("no")).where("r is null or change = 1")
+    numbered = cut(numbered)
+    if some_hot:
+        base = before(numbered.where("b >= 0").groupBy("e", "b").agg(F.sum("change").alias("n")), "e", "b", F.sum, "n", "base")
+        numbered = numbered.join(base.select("e", "b", "base"), ["e", "b"], "left").withColumn("no", F.col("no") + F.coalesce("base", F.lit(0)))
 
-    base = before(marked.groupBy("e", "b").agg(F.sum("change").alias("n")), "e", "b", F.sum, "n", "base").select("e", "b", F.coalesce("base", F.lit(0)).alias("base"))
-    with_base = marked.unionByName(base.select("e", "b", first.alias("us"), none.alias("r"), F.col("base").alias("change")))
-    running = Window.partitionBy("e", "b").orderBy("us")
-    by_rank = Window.partitionBy("e", "b").orderBy("us", "r").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = with_base.select("e", "us", "r", "change", F.sum("change").over(running.rangeBetween(Window.unboundedPreceding, 0)).alias("asked_no"), F.sum("change").over(by_rank).alias("own_no")).where(F.col("us") != first)
-    numbered = cut(numbered.where("r is null or change = 1"))
-
-    at = numbered.where("r is null and asked_no > 0").select(F.col("e").alias("_e"), F.col("us").alias("_us"), F.col("asked_no").alias("_no"))
-    wide = releases.where(usable & F.col(entity).isNotNull()).groupBy(F.col(entity).alias("_we"), ranked.alias("_wr")).agg(F.max(F.struct(*[F.col(c).alias(prefix + c) for c in attributes])).alias("_attributes"))
-    versions = numbered.where("r is not null").select(F.col("e").alias("_ve"), F.col("r").alias("_vr"), F.col("own_no").alias("_vno"))
-    table = versions.join(wide, (F.col("_ve") == F.col("_we")) & (F.col("_vr") == F.col("_wr"))).select("_ve", "_vno", "_attributes.*")
-    out = events.withColumn("_ev_us", event_us.cast("long")).join(at, (F.col(entity) == F.col("_e")) & (F.col("_ev_us") == F.col("_us")), "left")
-    return out.join(table, (F.col(entity) == F.col("_ve")) & (F.col("_no") == F.col("_vno")), "left").drop("_ev_us", "_e", "_us", "_no", "_ve", "_vno")
+    extra = [c for c in attributes if c not in rank]
+    greatest = F.max(F.struct(*extra) if len(extra) > 1 else F.col(extra[0]) if extra else F.lit(1)).alias("_x")
+    wide = known.groupBy(F.col(entity).alias("_we"), *parts).agg(greatest)
+    at = lambda c: F.col(ranks[rank.index(c)]) if c in rank else F.col(f"_x.{c}" if len(extra) > 1 else "_x")
+    wide = wide.select("_we", *ranks, *[at(c).alias(prefix + c) for c in attributes])
+    versions = numbered.where("r is not null").select(F.col("e").alias("_ve"), "no", *[F.col(f"r.{k}").alias("_v" + k) for k in ranks])
+    same = F.col("_ve") == F.col("_we")
+    for k in ranks:
+        same &= F.col("_v" + k) == F.col(k)
+    table = versions.join(wide, same).select("_ve", F.col("no").alias("_vno"), *[prefix + c for c in attributes])
+    times = numbered.where("r is null and no > 0").select(F.col("e").alias("_e"), F.col("us").alias("_us"), F.col("no").alias("_no"))
+    given = times.join(table, (F.col("_e") == F.col("_ve")) & (F.col("_no") == F.col("_vno"))).drop("_ve", "_no", "_vno")
+    out = events.withColumn("_ev_us", event_us.cast("long"))
+    return out.join(given, (F.col(entity) == F.col("_e")) & (F.col("_ev_us") == F.col("_us")), "left").drop("_ev_us", "_e", "_us")
