@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.blocks import before, block_of, block_width
+from tideline.blocks import before, hot_blocks
 from tideline.operators.grid import micros
 
 
@@ -25,27 +25,29 @@ def asof_join(
 ) -> DataFrame:
     """left with `<prefix><column>` of the last right row of its key at or before its time (strictly before if strict; the first at or after, or strictly after, if forward), null if none or further than tolerance_s.
 
-    Both sides are merged in one order per (key, time block); each block's last right row is carried into later blocks over
-    one row a block, so a key of any size spreads over its blocks. Right rows of equal key and time count as one, the
-    greatest by `columns`. Left rows are kept, repeated ones too; null keys and times match nothing.
+    Right rows and the distinct times of the left are merged in one narrow order per key; wide left rows meet their match by
+    an equi-join on key and time. A key of more than per_block rows of both sides together is cut into blocks of time, and
+    each block's last right row carried into later ones over one row a block. Right rows of equal key and time count as
+    one, the greatest by `columns`. Left rows are kept, repeated ones too; null keys and times match nothing.
     """
     sign = -1 if forward else 1
     at = lambda df, c: sign * micros(df[c])
     value = F.struct(micros(right[right_on]).alias("us"), *[right[c].alias(prefix + c) for c in columns])
     r = right.where(right[by].isNotNull() & right[right_on].isNotNull()).select(right[by].alias("_k"), at(right, right_on).alias("_t"), value.alias("_v")).groupBy("_k", "_t").agg(F.max("_v").alias("_v"))
-    body = F.struct(*[left[c] for c in left.columns])
-    lft = left.select(left[by].alias("_k"), at(left, left_on).alias("_t"), body.alias("_left"))
-    width = block_width(lft.select("_t"), "_t", per_block)
-    both = r.select("_k", "_t", F.lit(1 if strict else 0).alias("_o"), "_v", F.lit(None).cast(lft.schema["_left"].dataType).alias("_left")).unionByName(
-        lft.select("_k", "_t", F.lit(0 if strict else 1).alias("_o"), F.lit(None).cast(r.schema["_v"].dataType).alias("_v"), "_left")
-    ).withColumn("_b", F.coalesce(block_of(F.col("_t"), width), F.lit(0)))
-    tails = r.withColumn("_b", block_of(F.col("_t"), width)).groupBy("_k", "_b").agg(F.max_by("_v", "_t").alias("_v"))
-    keys = both.select("_k", "_b").where("_k is not null").distinct()
-    carried = before(keys.join(tails, ["_k", "_b"], "left"), "_k", "_b", lambda c: F.last(c, True), "_v", "_c").where("_c is not null")
-    headed = both.unionByName(carried.select("_k", F.lit(-(2**63)).cast("long").alias("_t"), F.lit(-1).alias("_o"), F.col("_c").alias("_v"), F.lit(None).cast(lft.schema["_left"].dataType).alias("_left"), "_b"))
-    w = Window.partitionBy("_k", "_b").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    seen = headed.withColumn("_v", F.last("_v", True).over(w)).where("_left is not null")
-    usable = F.col("_k").isNotNull() & F.col("_t").isNotNull()
+    kind = r.schema["_v"].dataType
+    asked = left.where(left[by].isNotNull() & left[left_on].isNotNull()).select(left[by].alias("_k"), at(left, left_on).alias("_t")).distinct()
+    both = r.withColumn("_o", F.lit(1 if strict else 0)).unionByName(asked.withColumn("_v", F.lit(None).cast(kind)).withColumn("_o", F.lit(0 if strict else 1)))
+    rows, some_hot = hot_blocks(both, "_k", "_t", per_block)
+    last = lambda c: F.last(c, True)
+    if some_hot:
+        tails = rows.where("b >= 0").groupBy("_k", "b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_t"))).alias("_tail"))
+        rows = rows.join(before(tails, "_k", "b", last, "_tail", "_c").drop("_tail"), ["_k", "b"], "left")
+    else:
+        rows = rows.withColumn("_c", F.lit(None).cast(kind))
+    w = Window.partitionBy("_k", "b").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.select("_k", "_t", F.col("_v").isNull().alias("_asked"), F.coalesce(last("_v").over(w), F.col("_c")).alias("_v")).where("_asked and _v is not null")
     if tolerance_s is not None:
-        usable &= F.abs(F.col("_t") * sign - F.col("_v.us")) <= tolerance_s * 1_000_000
-    return seen.select("_left.*", *[F.when(usable, F.col(f"_v.{prefix}{c}")).alias(prefix + c) for c in columns])
+        seen = seen.where(F.abs(F.col("_t") * sign - F.col("_v.us")) <= tolerance_s * 1_000_000)
+    match = seen.select(F.col("_k").alias("_mk"), F.col("_t").alias("_mt"), *[F.col(f"_v.{prefix}{c}").alias(prefix + c) for c in columns])
+    keyed = left.withColumn("_lt", at(left, left_on))
+    return keyed.join(match, (keyed[by] == F.col("_mk")) & (F.col("_lt") == F.col("_mt")), "left").drop("_lt", "_mk", "_mt")
