@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.draws import draw
+
 
 def quarterly_folds(positions: DataFrame, *, key: str, day: str, position: str, horizon: int, least_train: int, cut_tail: bool) -> DataFrame:
     """(key, quarter, train_stop, test_lo, test_hi): expanding folds over positions, one a quarter.
@@ -63,9 +65,9 @@ def block_bootstrap(blocks: DataFrame, draws: DataFrame, *, block: str, sums: li
 
 
 def circular_draws(spark, n: int, length: int, samples: int, seed: int) -> DataFrame:
-    """(draw, block): circular moving-block draws over blocks 0..n-1, starts from a hash of (seed, draw, part), n blocks a draw."""
+    """(draw, block): circular moving-block draws over blocks 0..n-1, starts from a digest of (seed, draw, part), n blocks a draw."""
     parts = -(-n // length)
-    start = F.pmod(F.xxhash64(F.lit(seed), "draw", "part"), F.lit(n))
+    start = draw(seed, "draw", "part")
     rows = spark.range(samples).withColumnRenamed("id", "draw").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("start", start)
     return rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).where(F.col("part") * length + F.col("k") < n).select("draw", F.pmod(F.col("start") + F.col("k"), F.lit(n)).cast("int").alias("block"))
 

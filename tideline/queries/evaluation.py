@@ -9,6 +9,7 @@ from tideline import panel as P
 from tideline.functions import windows as X
 from tideline.operators import evaluate as E
 from tideline.operators import labels as L
+from tideline.operators.draws import draw_sql
 from tideline.queries.registry import query
 
 c = lambda name: F.col(name)
@@ -106,9 +107,10 @@ def intersect_providers(spark, sf):
     return P.table(spark, sf, "bank_quotes").where("fee_rate = 0").select("provider").intersect(P.table(spark, sf, "provider_rates").where("policy_rate_pct > 12").select("provider"))
 
 
-@query("""SELECT instrument_id FROM moex_universe EXCEPT SELECT instrument_id FROM outcome_days""")
+@query("""SELECT instrument_id FROM moex_universe EXCEPT SELECT instrument_id FROM outcome_days WHERE regret_bps > 100""")
 def except_instruments(spark, sf):
-    return P.table(spark, sf, "moex_universe").select("instrument_id").exceptAll(P.table(spark, sf, "outcome_days").select("instrument_id").distinct()).distinct()
+    """Instruments of the universe without any day of more than a hundred basis points' regret."""
+    return P.table(spark, sf, "moex_universe").select("instrument_id").subtract(P.table(spark, sf, "outcome_days").where("regret_bps > 100").select("instrument_id"))
 
 
 @query("""WITH {D}, l AS (SELECT corridor, day, price, list(price) OVER (PARTITION BY corridor ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS f FROM d), s AS (SELECT corridor, day, coalesce(list_position(list_transform(f, lambda x: (price / x - 1) * 10000 > 2500), true), 6) AS e FROM l WHERE len(f) = 5)
@@ -235,14 +237,18 @@ def bootstrap_fixed_index(spark, sf):
     return E.block_bootstrap(blocks, draws, block="block", sums=["hits", "n"]).select("draw", "hits", "n", r6(c("hits") / c("n")).alias("rate"))
 
 
-@query()
+@query(_EVAL.split("SELECT corridor, %s count")[0] % "" + f""", wk AS (SELECT date_trunc('week', day) AS wk, sum(signal) AS signals, sum(signal * hit) AS hits, count(*) AS n, sum(hit) AS base FROM m GROUP BY 1),
+b AS (SELECT *, dense_rank() OVER (ORDER BY wk) - 1 AS block, count(*) OVER () AS blocks FROM wk), z AS (SELECT count(*) AS blocks FROM wk),
+k AS (SELECT draw, ({draw_sql("7", "draw", "part")} + k) % blocks AS block FROM z, range(500) a(draw), range(400) x(part), range(4) u(k) WHERE part * 4 + k < blocks),
+y AS (SELECT draw, (sum(hits) / nullif(sum(signals), 0)) / nullif(sum(base) / sum(n), 0) AS lift FROM k JOIN b USING (block) GROUP BY 1)
+SELECT count(*) AS draws, round(quantile_cont(lift, 0.025), 6) AS low, round(quantile_cont(lift, 0.975), 6) AS high FROM y""")
 def bootstrap_ci(spark, sf):
     """2.5 and 97.5 per cent points of the lift of cheap days over 500 circular four-week block draws."""
     s = _signals(spark, sf).groupBy(F.date_trunc("week", "day").alias("week")).agg(F.sum("signal").alias("signals"), F.sum(c("signal") * c("hit")).alias("hits"), F.count("*").alias("n"), F.sum("hit").alias("base"))
     blocks = s.withColumn("block", F.dense_rank().over(Window.orderBy("week")) - 1)
     draws = E.circular_draws(spark, blocks.count(), 4, 500, 7)
     b = E.block_bootstrap(blocks, draws, block="block", sums=["signals", "hits", "n", "base"]).withColumn("lift", F.try_divide(c("hits") / c("signals"), c("base") / c("n")))
-    return b.agg(F.count("*").alias("draws"), F.percentile("lift", F.lit(0.025)).alias("low"), F.percentile("lift", F.lit(0.975)).alias("high"))
+    return b.agg(F.count("*").alias("draws"), r6(F.percentile("lift", F.lit(0.025))).alias("low"), r6(F.percentile("lift", F.lit(0.975))).alias("high"))
 
 
 @query("""WITH {D}, p AS (SELECT corridor, day, price, row_number() OVER (PARTITION BY corridor ORDER BY day) - 1 AS pos, count(*) OVER (PARTITION BY corridor) AS n FROM d) SELECT a.corridor, a.day, b.price AS shifted FROM p a JOIN p b ON a.corridor = b.corridor AND (a.pos + 37) % a.n = b.pos""")

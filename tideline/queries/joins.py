@@ -124,14 +124,23 @@ def grid_complete(spark, sf):
 
 @query("""WITH {D} SELECT a.corridor, a.day, round(avg(b.price), 4) AS peer_mean, min(b.price) AS peer_min, max(b.price) AS peer_max, round(stddev_pop(b.price), 6) AS peer_std, round(avg((b.price >= a.price)::INT), 6) AS share_above FROM d a JOIN d b ON a.day = b.day AND a.corridor <> b.corridor GROUP BY 1, 2""")
 def leave_one_out_peers(spark, sf):
-    """Statistics of the other corridors of the day (five at most), from one array a day."""
-    w = Window.partitionBy("day")
-    d = P.daily_panel(spark, sf).withColumn("all", F.collect_list(F.struct("corridor", "price")).over(w))
-    d = d.withColumn("p", F.transform(F.filter("all", lambda x: x["corridor"] != c("corridor")), lambda x: x["price"])).where(F.size("p") > 0)
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b)
-    mean = total("p") / F.size("p")
-    std = F.sqrt(total(F.transform("p", lambda x: (x - mean) * (x - mean))) / F.size("p"))
-    return d.select("corridor", "day", r4(mean).alias("peer_mean"), F.array_min("p").alias("peer_min"), F.array_max("p").alias("peer_max"), F.round(std, 6).alias("peer_std"), F.round(F.size(F.filter("p", lambda x: x >= c("price"))) / F.size("p"), 6).alias("share_above"))
+    """Statistics of the other corridors of the day: sums less one's own, the next extreme where one's own is the extreme, and a rank for the share above."""
+    w, up, down = Window.partitionBy("day"), Window.partitionBy("day").orderBy("price"), Window.partitionBy("day").orderBy(c("price").desc())
+    first, second = F.first("price").over(up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.nth_value("price", 2).over(up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    last, before = F.first("price").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.nth_value("price", 2).over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    d = P.daily_panel(spark, sf).select(
+        "corridor", "day", "price", (F.count("*").over(w) - 1).alias("n"), F.avg("price").over(w).alias("centre"), F.row_number().over(up).alias("i"), F.row_number().over(down).alias("j"),
+        first.alias("first"), second.alias("second"), last.alias("last"), before.alias("before"), (F.count("*").over(down.rangeBetween(Window.unboundedPreceding, 0)) - 1).alias("above"),
+    ).where("n > 0")
+    # Deviations from the day's mean keep the sums of squares exact enough.
+    dev = c("price") - c("centre")
+    d = d.withColumns({"s": F.sum(dev).over(w) - dev, "q": F.sum(dev * dev).over(w) - dev * dev})
+    mean = c("s") / c("n")
+    std = F.when(c("n") == 1, 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), c("q") / c("n") - mean * mean)))
+    return d.select(
+        "corridor", "day", r4(c("centre") + mean).alias("peer_mean"), F.when(c("i") == 1, c("second")).otherwise(c("first")).alias("peer_min"), F.when(c("j") == 1, c("before")).otherwise(c("last")).alias("peer_max"),
+        F.round(std, 6).alias("peer_std"), F.round(c("above") / c("n"), 6).alias("share_above"),
+    )
 
 
 @query("""WITH q AS (SELECT DISTINCT quote_id, provider, available_at, bid_uzs_per_rub AS bid, ask_uzs_per_rub AS ask FROM bank_quotes WHERE bid_uzs_per_rub > 0 AND ask_uzs_per_rub > 0 AND available_at >= observed_at)

@@ -131,7 +131,18 @@ def stream_hourly_news(spark, sf):
     return out.unionByName(untimed.select("corridor", F.lit(None).cast("timestamp_ntz").alias("hour"), "articles"))
 
 
-@query()
+_LANES = """WITH RECURSIVE {D}, l AS (SELECT corridor, day, price, list(price) OVER (PARTITION BY corridor ORDER BY day ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS v FROM d),
+r AS (SELECT corridor, day, date_trunc('week', day) AS wk, CASE WHEN len(v) >= 20 THEN len(list_filter(v, lambda x: x <= price)) / len(v) END AS rank FROM l),
+s AS (SELECT *, max(CASE WHEN rank <= 0.2 THEN 1 ELSE 0 END) OVER (PARTITION BY corridor, wk ORDER BY day) AS seen FROM r),
+g AS (SELECT corridor, day, wk, CASE WHEN rank <= 0.2 THEN 'strong' WHEN seen = 0 AND rank <= 0.4 AND isodow(day) IN (4, 5) THEN 'fallback' END AS lane FROM s),
+q AS (SELECT *, row_number() OVER (PARTITION BY corridor ORDER BY day) AS rn FROM g WHERE lane IS NOT NULL),
+t AS (SELECT corridor, rn, day, lane, day AS last, wk AS lastwk, 1 AS cnt, true AS kept FROM q WHERE rn = 1
+UNION ALL SELECT x.corridor, x.rn, x.day, x.lane, CASE WHEN k THEN x.day ELSE last END, CASE WHEN k THEN x.wk ELSE lastwk END, CASE WHEN k THEN CASE WHEN x.wk = lastwk THEN cnt + 1 ELSE 1 END ELSE cnt END, k
+FROM (SELECT t.last, t.lastwk, t.cnt, q.*, (CASE WHEN q.wk = t.lastwk THEN t.cnt ELSE 0 END < 2 AND q.day - t.last >= 3) AS k FROM t JOIN q ON q.corridor = t.corridor AND q.rn = t.rn + 1) x)
+SELECT corridor, day, lane FROM t WHERE kept"""
+
+
+@query(_LANES)
 def dual_lane(spark, sf):
     """Strong days first (lowest fifth of their past), else cheap Thursdays and Fridays, under one cap and cooldown."""
     p, w = c("price"), X.series("corridor", "day")

@@ -10,6 +10,7 @@ from tideline import panel as P
 from tideline.functions import windows as X
 from tideline.operators import indicators as I
 from tideline.operators import labels as L
+from tideline.operators.draws import draw, draw_sql
 from tideline.queries.registry import query
 
 c = lambda name: F.col(name)
@@ -117,11 +118,11 @@ def fast_slow_pairs(spark, sf):
 
 @query("""WITH k AS (SELECT DISTINCT event_type AS corridor FROM events) SELECT k.corridor, date_trunc('day', ts)::DATE AS day, count(*) AS events, sum((e.event_type = k.corridor)::INT) AS own FROM events e JOIN k ON e.event_type = 'click' OR e.event_type = k.corridor GROUP BY 1, 2""")
 def fan_out(spark, sf):
-    """Events of one type count for every corridor, others for their own: counted by day first, then fanned out by an array of corridors (a fixed handful)."""
+    """Events of one type count for every corridor, others for their own: counted by day first, then fanned out by an equi-join with the corridors there are."""
     e = P.table(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    kinds = e.agg(F.sort_array(F.collect_set("event_type")).alias("k")).first()["k"]
-    to = F.when(c("event_type") == "click", F.array(*map(F.lit, kinds))).otherwise(F.array("event_type"))
-    x = e.select("event_type", "day", "n", F.explode(to).alias("corridor"))
+    kinds = e.select(c("event_type").alias("corridor")).where("corridor is not null").distinct()
+    to = kinds.select("corridor", F.lit("click").alias("event_type")).unionByName(kinds.select("corridor", c("corridor").alias("event_type"))).distinct()
+    x = e.join(to, "event_type")
     return x.groupBy("corridor", "day").agg(F.sum("n").alias("events"), F.sum(F.when(c("event_type") == c("corridor"), c("n")).otherwise(0)).alias("own"))
 
 
@@ -326,12 +327,13 @@ def partition_pruned_scan(spark, sf):
     return spark.read.parquet(path).where("day between date'2024-01-10' and date'2024-01-12'").groupBy("event_type", "day").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {{D}}, k AS (SELECT corridor, day, sum((price < 120000)::INT) OVER (PARTITION BY corridor, date_trunc('week', day)) AS want,
+  row_number() OVER (PARTITION BY corridor, date_trunc('week', day) ORDER BY {draw_sql("5", "day")}, day) AS rn FROM d) SELECT corridor, day FROM k WHERE rn <= want""")
 def matched_random(spark, sf):
-    """As many days per corridor and week as have cheap prices, drawn by a seeded hash."""
+    """As many days per corridor and week as have cheap prices, drawn by a seeded digest."""
     d = P.daily_panel(spark, sf).withColumn("week", F.date_trunc("week", "day")).withColumn("cheap", (c("price") < 120_000).cast("int"))
     w = Window.partitionBy("corridor", "week")
-    d = d.withColumn("want", F.sum("cheap").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.xxhash64(F.lit(5), "day"), "day")))
+    d = d.withColumn("want", F.sum("cheap").over(w)).withColumn("rn", F.row_number().over(w.orderBy(draw(5, "day"), "day")))
     return d.where("rn <= want").select("corridor", "day")
 
 
