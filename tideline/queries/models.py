@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -13,9 +11,9 @@ from tideline.functions import windows as X
 from tideline.operators import labels as L
 from tideline.operators import models as M
 from tideline.operators import policy as Q
-from tideline.queries import evaluation, joins
+from tideline.queries import joins
 from tideline.queries.registry import SQL, query
-from tideline.session import shared_dir
+from tideline.session import scratch
 from tideline.streaming import flows
 
 c = lambda name: F.col(name)
@@ -105,12 +103,11 @@ def adwin_switch(spark, sf):
 @query(SQL["policy_cooldown_cap"])
 def stream_policy(spark, sf):
     """The cap and cooldown as a stream over files in order of time, one a micro-batch, with state carried from each to the next; equal to the batch query."""
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     rows = joins._cheap(spark, sf).select("corridor", c("day").cast("timestamp").alias("at"))
     flows.write_in_order(rows, f"{root}/in", "at", FILES)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    source = flows.file_stream(spark, f"{root}/in", rows.schema)
-    out = flows.run_to_table(flows.policy_stream(source, cooldown_days=3, cap=2), f"policy_{uuid.uuid4().hex}", f"{root}/checkpoint")
+    with flows.rocksdb_state(spark):
+        out = flows.run_to_parquet(flows.policy_stream(flows.file_stream(spark, f"{root}/in", rows.schema), cooldown_days=3, cap=2), root)
     return out.select("corridor", c("at").cast("date").alias("day"))
 
 
@@ -121,16 +118,43 @@ def stream_hourly_news(spark, sf):
     A row a day after the last one moves the watermark past the last hour; its own hour is never given out. Events
     without a time, which no watermark passes, are counted beside the stream.
     """
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     events = P.table(spark, sf, "events").select("event_type", "ts", "user_id")
     end = events.agg(F.max("ts").alias("ts")).where("ts is not null").select((c("ts") + F.expr("interval 1 day")).alias("ts"))
     flows.write_in_order(events.where("ts is not null").unionByName(end, allowMissingColumns=True), f"{root}/in", "ts", FILES)
-    out = flows.run_to_table(flows.hourly_distinct(flows.file_stream(spark, f"{root}/in", events.schema)), f"news_{uuid.uuid4().hex}", f"{root}/checkpoint")
+    out = flows.run_to_parquet(flows.hourly_distinct(flows.file_stream(spark, f"{root}/in", events.schema)), root)
     out = out.select("corridor", c("hour").cast("timestamp_ntz").alias("hour"), "articles")
     untimed = events.where("ts is null").groupBy(c("event_type").alias("corridor")).agg(F.count_distinct("user_id").cast("int").alias("articles"))
     return out.unionByName(untimed.select("corridor", F.lit(None).cast("timestamp_ntz").alias("hour"), "articles"))
 
 
+@query("""WITH {D}, k AS (SELECT corridor, day, price, min(price) OVER f AS best_ahead, count(*) OVER f AS n FROM d WINDOW f AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) SELECT corridor, day, price, best_ahead FROM k WHERE n = 5""")
+def stream_delayed_labels(spark, sf):
+    """Labels that are known five prices later, given out by a stream that keeps the open ones as state across batches; equal to the batch label."""
+    root = scratch(spark, "stream")
+    rows = P.daily_panel(spark, sf).select("corridor", c("day").cast("timestamp").alias("at"), "price")
+    flows.write_in_order(rows, f"{root}/in", "at", FILES)
+    with flows.rocksdb_state(spark):
+        out = flows.run_to_parquet(flows.settled_stream(flows.file_stream(spark, f"{root}/in", rows.schema), delay=5), root)
+    return out.select("corridor", c("at").cast("date").alias("day"), "price", "best_ahead")
+
+
+@query("""WITH n AS (SELECT event_type AS corridor, date_trunc('hour', ts) AS hour, count(DISTINCT user_id) AS articles FROM events WHERE ts IS NOT NULL AND hour(ts) % 6 <> 0 GROUP BY 1, 2),
+g AS (SELECT corridor, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS hour FROM (SELECT DISTINCT corridor FROM n), (SELECT min(hour) AS lo, max(hour) AS hi FROM n)), s AS (SELECT DISTINCT hour FROM n)
+SELECT g.corridor, g.hour, CASE WHEN s.hour IS NOT NULL THEN coalesce(articles, 0) END AS articles FROM g LEFT JOIN s USING (hour) LEFT JOIN n USING (corridor, hour)""")
+def stream_missing_or_zero(spark, sf):
+    """Hourly counts of a stream, where an hour in which no corridor had anything is an outage and unknown, and one in which another had something is zero. Every sixth hour is withheld."""
+    root = scratch(spark, "stream")
+    events = P.table(spark, sf, "events").select("event_type", "ts", "user_id").where(c("ts").isNotNull() & (F.hour(c("ts").cast("timestamp")) % 6 != 0))
+    end = events.agg(F.max("ts").alias("ts")).where("ts is not null").select((c("ts") + F.expr("interval 1 day")).alias("ts"))
+    flows.write_in_order(events.unionByName(end, allowMissingColumns=True), f"{root}/in", "ts", FILES)
+    n = flows.run_to_parquet(flows.hourly_distinct(flows.file_stream(spark, f"{root}/in", events.schema)), root).where("corridor is not null").select("corridor", c("hour").cast("timestamp_ntz").alias("hour"), "articles")
+    span = n.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi")).first()
+    hours = n.select("corridor").distinct().withColumn("hour", F.explode(F.sequence(F.lit(span["lo"]).cast("timestamp_ntz"), F.lit(span["hi"]).cast("timestamp_ntz"), F.expr("interval 1 hour"))))
+    beats = hours.join(n.select("hour").distinct().withColumn("alive", F.lit(True)), "hour", "left").withColumn("alive", F.coalesce("alive", F.lit(False)))
+    return flows.hours_with_outages(n, beats).select("corridor", "hour", "articles")
+
+
 _LANES = """WITH RECURSIVE {D}, l AS (SELECT corridor, day, price, list(price) OVER (PARTITION BY corridor ORDER BY day ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS v FROM d),
 r AS (SELECT corridor, day, date_trunc('week', day) AS wk, CASE WHEN len(v) >= 20 THEN len(list_filter(v, lambda x: x <= price)) / len(v) END AS rank FROM l),
 s AS (SELECT *, max(CASE WHEN rank <= 0.2 THEN 1 ELSE 0 END) OVER (PARTITION BY corridor, wk ORDER BY day) AS seen FROM r),
@@ -164,6 +188,3 @@ def consensus_scores(spark, sf):
     w = X.Window.partitionBy("day")
     r = r.withColumn("n", F.count("*").over(w)).withColumn("s", F.sum("rank").over(w)).where("n > 1")
     return r.select("corridor", "day", F.round("rank", 6).alias("own"), F.round(0.5 * c("rank") + 0.5 * (c("s") - c("rank")) / (c("n") - 1), 6).alias("blended"))
-
-
-_ = evaluation

@@ -12,6 +12,7 @@ from tideline.operators import indicators as I
 from tideline.operators import labels as L
 from tideline.operators.draws import draw, draw_sql
 from tideline.queries.registry import query
+from tideline.session import scratch
 
 c = lambda name: F.col(name)
 r4 = lambda x: F.round(x, 4)
@@ -318,11 +319,7 @@ def continuous_roll(spark, sf):
 @query("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' GROUP BY 1, 2")
 def partition_pruned_scan(spark, sf):
     """A table written by day and read back for three of them; only their folders are listed for reading."""
-    import uuid
-
-    from tideline.session import shared_dir
-
-    path = f"{shared_dir(spark)}/by-day-{uuid.uuid4().hex}"
+    path = scratch(spark, "by-day")
     P.table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day")).repartition("day").write.partitionBy("day").parquet(path)
     return spark.read.parquet(path).where("day between date'2024-01-10' and date'2024-01-12'").groupBy("event_type", "day").agg(F.count("*").alias("n"))
 

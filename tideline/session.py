@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -9,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_swept: set[str] = set()
+
+
 def local_session(cpus: int = 8, partitions: int = 8, app: str = "tideline") -> SparkSession:
     """A single-JVM session for tests and the bench."""
     return (
@@ -38,13 +42,34 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tideline-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new place for one table or stream in the application's own part of the shared folder, which is deleted when the driver ends."""
+    if _own(spark) not in _swept:
+        _swept.add(_own(spark))
+        atexit.register(sweep, spark)
+    return f"{_own(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes everything that `scratch` gave out in this application; tables read from it are then gone. Long-running drivers call it between jobs."""
+    try:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # the session is gone already: nothing can be deleted through it
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from a compressed table in the shared folder.
 
     Everything upstream runs once, however many plans read the result, and a lost executor costs no recomputation beyond it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = scratch(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

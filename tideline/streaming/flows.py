@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
@@ -84,13 +85,6 @@ def policy_stream(candidates: DataFrame, *, cooldown_days: int, cap: int) -> Dat
     return candidates.groupBy("corridor").transformWithStateInPandas(CapAndCooldown(cooldown_days, cap), out, "append", "none")
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over everything there is into a memory table, and returns that table."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
-
-
 def append_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Runs a stream over everything there is into Parquet, each batch in a folder of its own that a repeat overwrites."""
 
@@ -100,6 +94,71 @@ def append_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_to_parquet(stream: DataFrame, root: str) -> DataFrame:
+    """Runs a stream over everything there is into a table under root, with its checkpoint beside it, and reads the table; nothing passes through the driver."""
+    spark = stream.sparkSession
+    append_once(stream, f"{root}/out", f"{root}/checkpoint")
+    written = stream.schema.add("batch", LongType())
+    return spark.read.schema(written).option("basePath", f"{root}/out").parquet(f"{root}/out") if batches(spark, root) else spark.createDataFrame([], written)
+
+
+def batches(spark: SparkSession, root: str) -> int:
+    """How many micro-batches of run_to_parquet have written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/out")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return len(fs.listStatus(folder)) if fs.exists(folder) else 0
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):  # noqa: ANN201
+    """Keyed state of the processors here lies in RocksDB, which the arbitrary-state operator asks for; the session's own choice is restored afterwards."""
+    had = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, had) if had else spark.conf.unset(STATE_STORE)
+
+
+class Settled(StatefulProcessor):
+    """Keeps each key's score until its label comes, a number of rows later in the key's own order, and gives out the two together: labels that arrive late in the state they belong to."""
+
+    def __init__(self, delay: int) -> None:
+        self.delay = delay
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getListState("open", StructType([StructField("at", LongType()), StructField("price", DoubleType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        new = sorted((int(t.timestamp() * 1_000_000), float(p)) for pdf in rows for t, p in zip(pdf["at"], pdf["price"]))
+        line = [*self.open.get(), *new]
+        done = line[: max(0, len(line) - self.delay)]
+        if done:
+            least = [min(p for _, p in line[i + 1 : i + 1 + self.delay]) for i in range(len(done))]
+            yield pd.DataFrame({"corridor": key[0], "at": pd.to_datetime([t for t, _ in done], unit="us", utc=True), "price": [p for _, p in done], "best_ahead": least})
+        self.open.put(line[len(done) :])
+
+    def close(self) -> None:
+        pass
+
+
+def settled_stream(prices: DataFrame, *, delay: int) -> DataFrame:
+    """(corridor, at, price, best_ahead) of each price once its next `delay` prices are known; state holds at most `delay` rows a key. Prices of a key must arrive in order of time across batches."""
+    out = StructType([StructField("corridor", StringType()), StructField("at", TimestampType()), StructField("price", DoubleType()), StructField("best_ahead", DoubleType())])
+    return prices.groupBy("corridor").transformWithStateInPandas(Settled(delay), out, "append", "none")
+
+
+def hours_with_outages(counts: DataFrame, heartbeats: DataFrame) -> DataFrame:
+    """(hour, corridor, articles): of every hour that a heartbeat announces, a count of zero for corridors without articles; of hours without a heartbeat, null, since the source was away.
+
+    heartbeats is (hour, corridor, alive), one row for every hour and corridor expected; both are small windowed results.
+    """
+    return heartbeats.join(counts, ["hour", "corridor"], "left").select("hour", "corridor", F.when(F.col("alive"), F.coalesce("articles", F.lit(0))).alias("articles"))
+
+
 def hourly_distinct(events: DataFrame, *, late: str = "2 hours") -> DataFrame:
     """Distinct articles by hour and corridor; an hour is given out and its state dropped once the watermark, `late` behind the newest event, has passed its end."""
     e = events.select(F.col("event_type").alias("corridor"), F.col("ts").cast("timestamp").alias("at"), F.col("user_id").alias("article")).withWatermark("at", late)
