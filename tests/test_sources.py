@@ -71,7 +71,7 @@ def test_wide_months_and_intervals(spark):
     got = R.compounded(R.months_wide(wide, label="name")).orderBy("month_end").collect()
     assert [(x["month_end"], x["value"], x["known_at"]) for x in got] == [(dt.date(2024, 1, 31), 100.6, dt.date(2024, 2, 10)), (dt.date(2024, 2, 29), 100.3, dt.date(2024, 3, 10))]
     rows = spark.createDataFrame([("01.01.2024 - 25.07.2024", 14.0), ("25.07.2024 -", 13.5)], "t string, r double")
-    got = R.policy_intervals(rows, text="t", rate="r").orderBy("starts").collect()
+    got = R.policy_intervals(rows.withColumn("b", F.lit("x")), text="t", rate="r", bank="b").orderBy("starts").collect()
     assert got[1]["starts"] == dt.date(2024, 7, 26) and got[1]["change_pp"] == -0.5
 
 

@@ -52,12 +52,12 @@ LOADERS = {"CBR": (CBR, cbr_panel), "MOEX": (DAILY, daily_closes), "MOEX10M": (C
 
 
 def load_series(spark: SparkSession, series: str, folder: str) -> DataFrame:
-    """The panel of 'SOURCE:ID' from <folder>/<source>.csv; unknown sources fail."""
+    """The panel of 'SOURCE:ID' from <folder>/<source>.csv; unknown sources and malformed rows fail."""
     source, _, name = series.partition(":")
     if source not in LOADERS or not name:
         raise ContractError(f"unknown series {series}")
     schema, loader = LOADERS[source]
-    return loader(scan_csv(spark, f"{folder}/{source.lower()}.csv", schema, strict=False)).where(F.col("series_id") == series)
+    return loader(scan_csv(spark, f"{folder}/{source.lower()}.csv", schema)).where(F.col("series_id") == series)
 
 
 def filtered_bulk(spark: SparkSession, path: str, *, areas: list[str], columns: tuple[str, ...] = ("FREQ", "REF_AREA", "TIME_PERIOD", "OBS_VALUE", "CURRENCY")) -> DataFrame:
@@ -123,3 +123,20 @@ def markdown_table(df: DataFrame, limit: int = 200) -> str:
     cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else re.sub(r"[|\n]", " ", str(v))
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows])
+
+
+def price_matrix(rows: DataFrame, *, target: str, instruments: list[str], instrument: str = "instrument_id", day: str = "trade_date", price: str = "close") -> DataFrame:
+    """One row for each day on which the target has a price above zero, with a column per instrument of that day's price, never filled."""
+    good = rows.where(F.col(price) > 0)
+    days = good.where(F.col(instrument) == target).select(day).distinct()
+    wide = good.groupBy(day).pivot(instrument, instruments).agg(F.max(price))
+    return days.join(wide, day, "left")
+
+
+def drop_empty_columns(df: DataFrame, prefix: str) -> DataFrame:
+    """df without the columns of a prefix that hold no value at all; one aggregate row tells which."""
+    names = [c for c in df.columns if c.startswith(prefix)]
+    if not names:
+        return df
+    n = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in names]).first()
+    return df.drop(*[c for c in names if not n[c]])

@@ -106,15 +106,15 @@ def compounded(months: DataFrame, *, known_after_days: int = 10) -> DataFrame:
     return months.select("*", (F.pow(over(3), F.lit(4.0)) - 1).alias("annualised_3m"), (over(12) - 1).alias("change_12m"), F.date_add("month_end", known_after_days).alias("known_at"))
 
 
-def policy_intervals(rows: DataFrame, *, text: str, rate: str) -> DataFrame:
-    """(starts, ends, rate, change_pp, known_at) from interval texts; an interval that begins before an earlier one ended begins the day after that end."""
+def policy_intervals(rows: DataFrame, *, text: str, rate: str, bank: str) -> DataFrame:
+    """(bank, starts, ends, rate, change_pp, known_at) from interval texts of each bank; an interval that begins before an earlier one ended begins the day after that end."""
     dates = F.transform(F.regexp_extract_all(F.col(text), F.lit(r"(\d{2}\.\d{2}\.\d{4})"), F.lit(1)), lambda x: F.to_date(x, "dd.MM.yyyy"))
-    d = rows.select(dates.alias("d"), F.col(rate).cast("double").alias("rate")).where(F.size("d") > 0).select(F.get("d", F.lit(0)).alias("starts"), F.get("d", F.lit(1)).alias("ends"), "rate")
-    w = Window.orderBy("starts", "ends")  # one row an interval of one bank's policy
+    d = rows.select(F.col(bank).alias("bank"), dates.alias("d"), F.col(rate).cast("double").alias("rate")).where(F.size("d") > 0).select("bank", F.get("d", F.lit(0)).alias("starts"), F.get("d", F.lit(1)).alias("ends"), "rate")
+    w = Window.partitionBy("bank").orderBy("starts", "ends")
     d = d.withColumn("prior", F.max("ends").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     d = d.withColumn("starts", F.when(F.col("starts") <= F.col("prior"), F.date_add("prior", 1)).otherwise(F.col("starts")))
-    w2 = Window.orderBy("starts")
-    return d.select("starts", "ends", "rate", (F.col("rate") - F.lag("rate").over(w2)).alias("change_pp"), F.date_add("starts", 1).alias("known_at"))
+    w2 = Window.partitionBy("bank").orderBy("starts")
+    return d.select("bank", "starts", "ends", "rate", (F.col("rate") - F.lag("rate").over(w2)).alias("change_pp"), F.date_add("starts", 1).alias("known_at"))
 
 
 def plan_sentences(articles: DataFrame, *, text: str, key: str) -> DataFrame:
@@ -133,3 +133,18 @@ def contract_codes(spark, first_year: int, last_year: int, root: str = "CR") ->
     months = spark.range(1).select(F.explode(F.sequence(F.make_date(F.lit(first_year), F.lit(1), F.lit(1)), F.make_date(F.lit(last_year), F.lit(12), F.lit(1)), F.expr("INTERVAL 1 MONTH"))).alias("m"))
     code = F.concat(F.lit(root), F.substring(F.lit(letters), F.month("m"), F.lit(1)), (F.year("m") % 10).cast("string"))
     return months.select(code.alias("code"), F.date_add(F.next_day(F.date_sub("m", 1), "THU"), 14).alias("expiry"))
+
+
+def bank_rates_json(payloads: DataFrame, *, currencies: list[str], text: str = "text") -> DataFrame:
+    """(rate_date, ccy, nominal, per_unit, known_at) from a JSON array of {Ccy, Nominal, Rate, Date}; usable the day after. Rows of one day and currency that disagree fail."""
+    shape = "array<struct<Ccy:string,Nominal:string,Rate:string,Date:string>>"
+    rows = payloads.select(F.inline(F.from_json(text, shape))).where(F.col("Ccy").isin(currencies))
+    typed = rows.select(F.expr("try_to_timestamp(Date, 'dd.MM.yyyy')").cast("date").alias("rate_date"), F.col("Ccy").alias("ccy"), F.col("Nominal").try_cast("int").alias("nominal"), decimal_comma(F.col("Rate")).alias("rate")).where("rate_date is not null and nominal > 0 and rate > 0")
+    one = typed.groupBy("rate_date", "ccy").agg(F.max("nominal").alias("nominal"), F.min(F.col("rate") / F.col("nominal")).alias("lo"), F.max(F.col("rate") / F.col("nominal")).alias("per_unit"))
+    same = F.when(F.col("lo") == F.col("per_unit"), F.col("per_unit")).otherwise(F.raise_error(F.concat(F.lit("two rates of "), F.col("ccy"), F.lit(" on "), F.col("rate_date").cast("string"))))
+    return one.select("rate_date", "ccy", "nominal", same.alias("per_unit"), F.date_add("rate_date", 1).alias("known_at"))
+
+
+def rates_wide(rates: DataFrame, currencies: list[str], *, day: str = "rate_date", value: str = "per_unit", lag_days: int = 0) -> DataFrame:
+    """One row a day with a column per currency, days shifted by lag_days; days that lack one keep a null."""
+    return rates.groupBy(F.date_add(day, lag_days).alias(day)).pivot("ccy", currencies).agg(F.max(value))
