@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from compare import canon
-from tideline.queries import banks, dealt, dealt_sql, evaluation, features, joins, models, more, payload, registry, runs  # noqa: F401
+from tideline.queries import banks, dealt, dealt_sql, evaluation, features, joins, learning, models, more, payload, registry, runs  # noqa: F401
 
 QUERIES = {**dealt.QUERIES, **registry.QUERIES}
 SQL = {**dealt_sql.SQL, **registry.SQL}

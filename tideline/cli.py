@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from tideline.session import local_session, ship
 
-MODULES = ("banks", "dealt", "evaluation", "features", "joins", "models", "more", "payload", "runs")
+MODULES = ("banks", "dealt", "evaluation", "features", "joins", "learning", "models", "more", "payload", "runs")
 
 
 def catalogue() -> dict[str, Callable]:

@@ -9,19 +9,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tideline.operators.models import bounded
+
 
 def expanding_quantiles(rows: DataFrame, *, key: str, at: str, value: str, quantiles: dict[str, float], least: int) -> DataFrame:
     """rows (key, at, value) with one column per quantile (linear) of the values strictly before each row, null under `least` of them.
 
     A window frame without start would sort each prefix anew; here each value is put once into a sorted list. A group is one
-    series of the calendar's length. Null and not-a-number values are passed over; rows of equal `at` keep an arbitrary order.
+    series of the calendar's length, which is checked. Null and not-a-number values are passed over; rows of equal `at` keep an arbitrary order.
     """
     schema = rows.select(key, at, value).schema
     for name in quantiles:
         schema = schema.add(name, "double")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at, kind="stable")
+        pdf = bounded(pdf).sort_values(at, kind="stable")
         seen: list[float] = []
         out = np.full((len(pdf), len(quantiles)), np.nan)
         for i, v in enumerate(pdf[value].to_numpy(float)):

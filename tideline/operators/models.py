@@ -8,6 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+SERIES_ROWS = 500_000  # most rows of one group that a model takes: centuries of days, decades of hours
+
+
+def bounded(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The group itself, if it is no longer than a series can be; panels are aggregated to one row a day or hour before."""
+    if len(pdf) > SERIES_ROWS:
+        raise ValueError(f"a group of {len(pdf)} rows; aggregate to days or hours first")
+    return pdf
+
+
 class Prepared:
     """Medians fill gaps, columns that had gaps get an indicator, all columns are standardised; statistics come from the training rows only."""
 
@@ -155,7 +165,7 @@ def yearly_scores(rows: DataFrame, *, key: str, day: str, features: list[str], t
     fit = FITS[model]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(day).reset_index(drop=True)
+        pdf = bounded(pdf).sort_values(day).reset_index(drop=True)
         x, y = pdf[features].to_numpy(float), pdf[target].to_numpy(float)
         years = pd.to_datetime(pdf[day]).dt.year.to_numpy()
         score = np.full(len(pdf), np.nan)

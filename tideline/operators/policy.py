@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SERIES_ROWS = 500_000  # most candidates of one key: centuries of days, decades of hours
+
+
+def _bounded(array: Column) -> Column:
+    """The array itself, if it is no longer than a series of days or hours can be."""
+    return F.when(F.size(array) <= SERIES_ROWS, array).otherwise(F.raise_error(F.lit(f"a key with more than {SERIES_ROWS} rows; aggregate to days or hours first")))
+
 
 def cap_and_cooldown(candidates: DataFrame, *, key: str, at: str, cooldown: int, cap: int | None, unit: str = "day") -> DataFrame:
     """The (key, at) kept when a key's candidates are taken in order: none beyond `cap` in an ISO week, none less than `cooldown` units after the last one kept.
 
     The order is folded over one sorted array a key; candidates are days or hours of a series, so its length is bounded by
-    the calendar. Repeated candidates of a key and time count once; nulls are left out.
+    the calendar, which is checked. Repeated candidates of a key and time count once; nulls are left out.
     """
     seconds = {"day": 86_400, "hour": 3_600}[unit]
     t = F.unix_micros(F.col(at).cast("timestamp")) / F.lit(1_000_000)
     rows = candidates.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key), F.col(at), t.cast("long").alias("_s")).distinct()
-    arrays = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_s", at))).alias("_c"))
+    arrays = rows.groupBy(key).agg(_bounded(F.array_sort(F.collect_list(F.struct("_s", at)))).alias("_c"))
     kind = rows.schema[at].dataType.simpleString()
     week = lambda s: F.floor((s + 3 * 86_400) / (7 * 86_400))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(None).cast("long").alias("week"), F.lit(0).alias("count"), F.array().cast(f"array<{kind}>").alias("kept"))
@@ -32,7 +39,7 @@ def cap_and_cooldown(candidates: DataFrame, *, key: str, at: str, cooldown: int,
 
 def cusum(rows: DataFrame, *, key: str, at: str, change: str, sigma: str, multiple: float) -> DataFrame:
     """(key, at, fired): the two-sided cumulative sum of changes fires at multiple * sigma and starts anew; rows with null or non-positive sigma, or null change, are passed over."""
-    arrays = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(at, F.col(change).alias("x"), F.col(sigma).alias("s")))).alias("_c"))
+    arrays = rows.groupBy(key).agg(_bounded(F.array_sort(F.collect_list(F.struct(at, F.col(change).alias("x"), F.col(sigma).alias("s"))))).alias("_c"))
     kind = rows.schema[at].dataType.simpleString()
     start = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.array().cast(f"array<struct<{at}:{kind},fired:boolean>>").alias("out"))
 

@@ -51,7 +51,7 @@ def hazard(spark, sf):
     """Probability that no better price comes in five steps, of each year by the earlier rows whose five steps were over; years with fewer than 60 such rows have none."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day").reset_index(drop=True)
+        pdf = M.bounded(pdf).sort_values("day").reset_index(drop=True)
         x, step = pdf[FEATURES].to_numpy(float), pdf["step"].to_numpy()
         years = pd.to_datetime(pdf["day"]).dt.year.to_numpy()
         survival = np.full(len(pdf), np.nan)
@@ -73,7 +73,7 @@ def garch_gate(spark, sf):
     """Days whose forecast volatility ranks in the upper third of its last sixty forecasts."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day").reset_index(drop=True)
+        pdf = M.bounded(pdf).sort_values("day").reset_index(drop=True)
         r = pdf["r1"].fillna(0).to_numpy(float)
         n = len(r) // 2
         if n < 60:
@@ -90,7 +90,7 @@ def adwin_switch(spark, sf):
     """A long and a short memory of the hit rate, the short one for a while after the long one's losses have drifted."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day").reset_index(drop=True)
+        pdf = M.bounded(pdf).sort_values("day").reset_index(drop=True)
         y = pdf["target"].to_numpy(float)
         known = pdf["target"].shift(5)
         long = known.expanding(20).mean().fillna(0.5).to_numpy()
