@@ -37,7 +37,7 @@ REASONS = ("few_words", "word_length", "symbols", "lettered_words", "common_word
 _ASIDE = r" ?\([^()\p{Ll}]+\)"  # bracketed figures and codes inside a sentence
 _MARK = r"^\s*(?:[-*+•▪◦‣·→⇒►●○■□✓✔–]|\(?\d{1,4}[.)]|\(?\p{L}[.)]|\[[ xXхХ]?\]|[ivxIVX]{1,5}[.)])\s+\S"
 # A word in lower case, with a capital first or all in capitals, of any script; a number; a code of capitals and digits.
-_SHAPE = r"(?:^| )[\"'«»“”„(\[>§#*_—–-]*(?:\p{L}?[\p{Ll}\p{Lo}\p{M}]+(?:['’‘ʻʼ-]\p{L}*)*|\p{Lu}{1,12}(?:['’‘ʻʼ-]\p{L}*)*|[+-]?\d[\d.,:%]*|\p{Lu}{2,5}\d+)[\"'»”’)\].,;:!?…%]*(?: |$)"
+_SHAPE = r"(?:^| )[\"'«»“”„(\[>§#*_—–-]*(?:(?:\p{L}?[\p{Ll}\p{Lo}\p{M}]+|\p{Lu}+\d*)(?:['’‘ʻʼ-]\p{L}*)*|[+-]?\d[\d.,:%]*)[\"'»”’)\].,;:!?…%]*(?: |$)"
 
 _SPACE, _NOTHING = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
 _COMMON = " (?:" + "|".join(sorted({w for words in COMMON.values() for w in words.split()})) + ") "
