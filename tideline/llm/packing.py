@@ -21,33 +21,34 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     Ties go to the smaller remaining gap, an old bin before a new one. Sizes must lie in 1..capacity.
     """
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
-    n = np.zeros(capacity + 1, dtype=np.int64)  # n[0] and n[capacity] stay 0
+    far = np.int64(1) << 60
+    # Change of the sum when a bin goes from gap g to g - s: leave[g] + twice[g - s]; both are kept up to date bin by bin.
+    twice = np.zeros(capacity + 1, dtype=np.int64)  # 2 N(g), with gaps 0 and capacity staying 0
+    leave = np.full(capacity + 1, far)  # 2 - 2 N(g) where there is such a bin
     out = np.empty(len(sizes), dtype=np.int64)
     bins = 0
-    far = np.int64(1) << 60
     for i, s in enumerate(sizes.tolist()):
-        # change of the sum for gap g: leaving costs -2 n[g] + 1, arriving 2 n[g - s] + 1
-        leave = n[s:capacity]
-        change = 2 * (n[: capacity - s] - leave) + 2
-        if len(change):
-            change[0] = -2 * n[s] + 1  # fills the bin
-            change[leave == 0] = far
-            at = int(np.argmin(change))
+        at, best = 0, int(far)
+        if s < capacity:
+            change = leave[s:capacity] + twice[: capacity - s]
+            if leave[s] < far:
+                change[0] -= 1  # fills the bin, so none arrives
+            at = int(change.argmin())
             best = int(change[at])
-        else:
-            at, best = 0, int(far)
-        fresh = 2 * int(n[capacity - s]) + 1 if s < capacity else 0
+        fresh = int(twice[capacity - s]) + 1 if s < capacity else 0
         if best <= fresh and best < far:
             gap = s + at
             b = open_bins[gap].pop()
-            n[gap] -= 1
+            twice[gap] -= 2
+            leave[gap] = 2 - twice[gap] if twice[gap] else far
         else:
             gap, b = capacity, bins
             bins += 1
         left = gap - s
         if left:
             open_bins[left].append(b)
-            n[left] += 1
+            twice[left] += 2
+            leave[left] = 2 - twice[left]
         out[i] = b
     return out
 
