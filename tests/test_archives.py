@@ -1,6 +1,7 @@
 """Zipped, paged and workbook sources, and the wide matrix."""
 
 import datetime as dt
+import hashlib
 import io
 import json
 import zipfile
@@ -71,3 +72,18 @@ def test_matrix_and_empty_columns(spark):
     assert got == [(1, 1.0, 2.0, None), (2, 3.0, None, None)]
     wide = spark.createDataFrame([(1, None, 2.0)], "k int, extra__x double, extra__y double")
     assert S.drop_empty_columns(wide, "extra__").columns == ["k", "extra__y"] and S.drop_empty_columns(wide, "none").columns == wide.columns
+
+
+def test_scans_are_kept_verified_and_written(spark, tmp_path):
+    f = tmp_path / "a.csv"
+    f.write_text("k,v\n1,x\n")
+    first = S.scan_once(spark, str(f), "k int, v string")
+    assert S.scan_once(spark, str(f), "k int, v string") is first and first.count() == 1
+    f.write_text("k,v\n1,x\n2,yy\n")
+    assert S.scan_once(spark, str(f), "k int, v string").count() == 2
+    digest = hashlib.sha256(f.read_bytes()).hexdigest()
+    assert S.verified_csv(spark, str(f), "k int, v string", digest).count() == 2
+    with pytest.raises(ContractError):
+        S.verified_csv(spark, str(f), "k int, v string", "0" * 64)
+    made = S.write_set({"folds": spark.range(3).toDF("fold"), "none": spark.range(0).toDF("x")}, str(tmp_path / "set"), {"folds": ["fold"]})
+    assert made == {"folds": 3, "none": 0} and json.loads((tmp_path / "set/manifest.json").read_text()) == made

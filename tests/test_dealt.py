@@ -212,8 +212,6 @@ def test_faults_are_found_and_nothing_else(spark):
         calm[j][5] = calm[1000][5]
         calm[j][3], calm[j][4] = max(calm[j][3], calm[j][5]), min(calm[j][4], calm[j][5])
         bad.add(("calm", j, "stuck"))
-    for j in range(4091, 4091):
-        pass
     lazy[10][5], lazy[20][3], lazy[20][4], lazy[30][4] = -1.0, lazy[20][4], lazy[20][3], 0.0
     bad |= {("lazy", 10, "impossible"), ("lazy", 20, "impossible"), ("lazy", 30, "impossible")}
     lazy[40][5] = None
@@ -222,6 +220,8 @@ def test_faults_are_found_and_nothing_else(spark):
     df = spark.createDataFrame(rows + rows[:50] + late + [[None, T0, 1.0, 1.0, 1.0, 1.0, None], ["calm", None, 1.0, 1.0, 1.0, 1.0, None]], "secid string, dt_msk timestamp_ntz, open double, high double, low double, close double, fetched_at timestamp_ntz").withColumn("us", F.lit("clash"))
     got = flag_faults(df, per_block=1000).toPandas()
     assert len(got) == len(rows)
+    order = lambda x: x.sort_values(["source", "us"]).reset_index(drop=True)
+    assert order(got).equals(order(flag_faults(df).toPandas()))  # blocks change nothing
     found = {(x.source, (x.us - us(T0)) // 3_600_000_000, k) for x in got.itertuples() for k in ("spike", "wick", "stuck", "impossible") if getattr(x, k)}
     assert bad <= found, bad - found
     extra = {x for x in found - bad if x[2] != "impossible" and not (x[0], x[1]) in {(b[0], b[1]) for b in bad}}

@@ -92,6 +92,13 @@ def test_scores_are_probabilities_of_distinct_days(spark, sf, name):
     assert x["n"] == x["d"] > 0 and 0 <= x["lo"] <= x["hi"] <= 1
 
 
+def test_folds_and_ablations_report_every_year_once(spark, sf):
+    folds = learning.fold_evaluation(spark, sf).toPandas()
+    assert len(folds) and not folds.duplicated(["corridor", "year"]).any() and (folds.hits <= folds.signals).all() and (folds.signals <= folds.days).all()
+    sets = learning.feature_set_ablation(spark, sf).toPandas()
+    assert (sets.groupby(["corridor", "year"]).size() == len(learning.SETS)).all() and sets.brier.between(0, 1).all()
+
+
 def test_groups_that_are_no_series_are_refused():
     with pytest.raises(ValueError, match="aggregate"):
         M.bounded(pd.DataFrame({"x": np.zeros(M.SERIES_ROWS + 1)}))

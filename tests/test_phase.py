@@ -1,9 +1,11 @@
 """Phase-space thresholding: what the ellipsoid decides, what the rule after it takes away, and repeated rounds."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tideline.operators import phase
+from tideline.operators.faults import _groups
 
 FAR = 4.5
 
@@ -66,3 +68,13 @@ def test_scale_is_the_median_deviation():
 def test_short_series(n):
     assert not phase.spikes(np.arange(n, dtype=float), FAR)[0].any()
     assert not phase.spikes(np.ones(n), FAR)[0].any()
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_groups_are_complete_whatever_the_batches(size):
+    s, b = ["a"] * 5 + ["b"] * 3 + ["c"] + ["d"] * 4, [0, 0, 1, 1, 1] + [0] * 3 + [0] + [2, 2, 3, 3]
+    t = pa.table({"s": s, "b": b, "x": list(range(13))})
+    batches = t.to_batches(max_chunksize=size)
+    assert [g.column("x").to_pylist() for g in _groups(iter(batches), ["s"])] == [[0, 1, 2, 3, 4], [5, 6, 7], [8], [9, 10, 11, 12]]
+    assert [len(g) for g in _groups(iter(batches), ["s", "b"])] == [2, 3, 3, 1, 2, 2]
+    assert list(_groups(iter([]), ["s"])) == []

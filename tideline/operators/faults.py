@@ -95,11 +95,26 @@ def _as_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row after another; arrays of numbers and flags come as NumPy views, so that a batch is never turned into Python objects as a whole."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {}
+            for name, column in zip(batch.schema.names, batch.columns):
+                v = column[i]
+                flat = pa.types.is_list(column.type) and not pa.types.is_nested(column.type.value_type)
+                row[name] = v.values.to_numpy(zero_copy_only=False) if flat and v.is_valid else v.as_py()
+            yield row
+
+
+def _array(v) -> np.ndarray:  # noqa: ANN001
+    return np.empty(0) if v is None else np.asarray(v, float)
+
+
 def _block(row: dict) -> tuple[np.ndarray, np.ndarray, slice]:
     """The closes of a block between those on either side, its own usable rows, and its place among them."""
-    c = np.array(row["c"], float)
+    c, left, right = (_array(row[k]) for k in ("c", "left", "right"))
     ok = _usable(c)
-    left, right = np.array(row["left"] or [], float), np.array(row["right"] or [], float)
     return np.concatenate([left, c[ok], right]), ok, slice(len(left), len(left) + int(ok.sum()))
 
 
@@ -109,16 +124,15 @@ def _shapes(row: dict) -> list[phase.Shape]:
 
 def _measure(batches: Iterator[pa.RecordBatch], far: float) -> Iterator[pa.RecordBatch]:
     """(s, what, bin, n): the histograms and sums of one block after the rounds so far."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            c, _, part = _block(row)
-            y = np.log(c)
-            flags, new = phase.flagged_by(y, _shapes(row), far)
-            histograms, (total, count) = phase.measured(y, phase.coordinates(y, flags), flags, part)
-            out = [(k, int(b), int(n)) for k in phase.COORDINATES for b, n in zip(*histograms[k])]
-            out += [("total", 0, total), ("count", 0, count), ("new", 0, int(new[part].sum())), ("n", 0, part.stop - part.start)]
-            what, bins, n = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array([row["s"]] * len(out)), pa.array(what), pa.array(bins, pa.int64()), pa.array(n, pa.int64())], names=["s", "what", "bin", "n"])
+    for row in _rows(batches):
+        c, _, part = _block(row)
+        y = np.log(c)
+        flags, new = phase.flagged_by(y, _shapes(row), far)
+        histograms, (total, count) = phase.measured(y, phase.coordinates(y, flags), flags, part)
+        out = [(k, int(b), int(n)) for k in phase.COORDINATES for b, n in zip(*histograms[k])]
+        out += [("total", 0, total), ("count", 0, count), ("new", 0, int(new[part].sum())), ("n", 0, part.stop - part.start)]
+        what, bins, n = zip(*out)
+        yield pa.RecordBatch.from_arrays([pa.array([row["s"]] * len(out)), pa.array(what), pa.array(bins, pa.int64()), pa.array(n, pa.int64())], names=["s", "what", "bin", "n"])
 
 
 def _shape(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -133,29 +147,27 @@ def _shape(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(s, b, moves, runs): how often the close of a block moves, and the repeats of each run in it that has any; run 0 goes on from the block before."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            c, _, part = _block(row)
-            moved, run = phase.runs_of(c[part], c[part.start - 1] if part.start else None)
-            at, n = np.unique(run[~moved], return_counts=True)
-            runs = [{"run": int(a), "repeats": int(k)} for a, k in zip(at, n)]
-            kind = pa.list_(pa.struct([("run", pa.int64()), ("repeats", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array([row["s"]]), pa.array([row["b"]]), pa.array([int(moved.sum())]), pa.array([runs], kind)], names=["s", "b", "moves", "runs"])
+    for row in _rows(batches):
+        c, _, part = _block(row)
+        moved, run = phase.runs_of(c[part], c[part.start - 1] if part.start else None)
+        at, n = np.unique(run[~moved], return_counts=True)
+        runs = [{"run": int(a), "repeats": int(k)} for a, k in zip(at, n)]
+        kind = pa.list_(pa.struct([("run", pa.int64()), ("repeats", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([pa.array([row["s"]]), pa.array([row["b"]]), pa.array([int(moved.sum())]), pa.array([runs], kind)], names=["s", "b", "moves", "runs"])
 
 
 def _judge(batches: Iterator[pa.RecordBatch], far: float, wick_far: float) -> Iterator[pa.RecordBatch]:
     """Flags of the rows of each block, given its source's ellipsoids and the runs of the block that are too long."""
     names = ["source", "us", "spike", "wick", "stuck", "impossible"]
-    for batch in batches:
-        for row in batch.to_pylist():
-            c, ok, part = _block(row)
-            shapes = _shapes(row)
-            spike, stuck = np.zeros(len(ok), bool), np.zeros(len(ok), bool)
-            spike[ok] = phase.flagged_by(np.log(c), shapes, far)[0][part]
-            moved, run = phase.runs_of(c[part], c[part.start - 1] if part.start else None)
-            stuck[ok] = ~moved & np.isin(run, row["long"] or [])
-            limit = wick_far * shapes[-1].universal * shapes[-1].move if shapes else np.inf
-            yield _flat(names, pa.array([row["s"]] * len(ok)), np.array(row["us"], np.int64), spike, np.array(row["wick"], float) > limit, stuck, np.array(row["impossible"], bool))
+    for row in _rows(batches):
+        c, ok, part = _block(row)
+        shapes = _shapes(row)
+        spike, stuck = np.zeros(len(ok), bool), np.zeros(len(ok), bool)
+        spike[ok] = phase.flagged_by(np.log(c), shapes, far)[0][part]
+        moved, run = phase.runs_of(c[part], c[part.start - 1] if part.start else None)
+        stuck[ok] = ~moved & np.isin(run, _array(row["long"]))
+        limit = wick_far * shapes[-1].universal * shapes[-1].move if shapes else np.inf
+        yield _flat(names, pa.array([row["s"]] * len(ok)), np.asarray(row["us"], np.int64), spike, _array(row["wick"]) > limit, stuck, np.asarray(row["impossible"], bool))
 
 
 def _neighbours(blocks: DataFrame) -> DataFrame:

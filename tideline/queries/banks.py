@@ -31,11 +31,14 @@ f AS (SELECT *, lag(r) OVER w AS r1, lag(r, 2) OVER w AS r2, price / lag(price,
   CASE WHEN count(r) OVER p20 = 20 THEN stddev_samp(r) OVER p20 END AS sigma,
   CASE WHEN count(r) OVER t20 = 20 THEN stddev_samp(r) OVER t20 END AS vol,
   CASE WHEN count(price) OVER t90 = 90 THEN quantile_cont(price, 0.1) OVER t90 END AS decile
-  FROM r WINDOW w AS (PARTITION BY corridor ORDER BY day), p90 AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING),
+  FROM r WINDOW w AS (PARTITION BY corridor ORDER BY day),
+p90 AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING),
   p20 AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING),
-  t20 AS (PARTITION BY corridor ORDER BY day ROWS 19 PRECEDING), t90 AS (PARTITION BY corridor ORDER BY day ROWS 89 PRECEDING)),
+  t20 AS (PARTITION BY corridor ORDER BY day ROWS 19 PRECEDING),
+t90 AS (PARTITION BY corridor ORDER BY day ROWS 89 PRECEDING)),
 g AS (SELECT *, CASE WHEN count(vol) OVER y >= 126 THEN quantile_cont(vol, 2/3.0) OVER y END AS calm, CASE WHEN count(vol) OVER y >= 126 THEN quantile_cont(vol, 1/3.0) OVER y END AS quiet,
-  low < price AND price / low - 1 >= 0.5 * sigma AND r >= 0 AND r1 >= 0 AS turned FROM f WINDOW y AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)),
+  low < price AND price / low - 1 >= 0.5 * sigma AND r >= 0 AND r1 >= 0 AS turned FROM f
+  WINDOW y AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)),
 h AS (SELECT corridor, day, 'H1' AS hypothesis, (price / low - 1) / sigma AS v FROM g WHERE turned
 UNION ALL SELECT corridor, day, 'H2', (decile / price - 1) / sigma FROM g WHERE price <= decile AND r2 < r1 AND r1 < r AND r <= 0
 UNION ALL SELECT corridor, day, 'H3', (price / low - 1) / sigma FROM g WHERE turned AND vol <= calm
@@ -93,7 +96,8 @@ def asof_max_age(spark, sf):
 _MONTH = """m AS (SELECT corridor, date_trunc('month', day)::DATE AS month, round(avg(price), 4) AS level FROM d GROUP BY 1, 2),
 k AS (SELECT corridor, month, last_day(month) + 10 AS known, level, round(level - lag(level) OVER w, 4) AS change_1m,
   round(CASE WHEN count(level) OVER p >= 6 THEN (level - avg(level) OVER p) / nullif(stddev_samp(level) OVER p, 0) END, 4) AS z12
-  FROM m WINDOW w AS (PARTITION BY corridor ORDER BY month), p AS (PARTITION BY corridor ORDER BY month ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))"""
+  FROM m WINDOW w AS (PARTITION BY corridor ORDER BY month),
+p AS (PARTITION BY corridor ORDER BY month ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))"""
 
 
 def _monthly(spark, sf):
@@ -127,13 +131,15 @@ def _instruments(spark, sf):
     return o.groupBy("secid", c("dt_msk").cast("date").alias("day")).agg(F.max_by("close", "dt_msk").alias("close"), F.max(positive("high")).alias("high"), F.min(positive("low")).alias("low"), F.sum(positive("volume_rub")).alias("volume"))
 
 
-@query(f"""WITH {_DAILY}, r AS (SELECT *, close / lag(close) OVER w - 1 AS raw1, close / lag(close, 5) OVER w - 1 AS raw5, ln(1 + volume) AS lv FROM q WINDOW w AS (PARTITION BY secid ORDER BY day)),
+@query(f"""WITH {_DAILY}, r AS (SELECT *, close / lag(close) OVER w - 1 AS raw1, close / lag(close, 5) OVER w - 1 AS raw5, ln(1 + volume) AS lv FROM q
+  WINDOW w AS (PARTITION BY secid ORDER BY day)),
 s AS (SELECT *, CASE WHEN abs(raw1) <= 0.35 THEN raw1 END AS r1, CASE WHEN abs(raw5) <= 1 THEN raw5 END AS r5 FROM r)
 SELECT secid, day, round(r1, 6) AS return_1, round(r5, 6) AS return_5, round((high - low) / close, 6) AS range_pct, round(lv, 5) AS log_volume,
   round(CASE WHEN count(r1) OVER t >= 12 THEN stddev_samp(r1) OVER t END, 6) AS volatility_20,
   round(CASE WHEN count(lv) OVER t >= 12 THEN (lv - avg(lv) OVER t) / nullif(stddev_samp(lv) OVER t, 0) END, 4) AS volume_z20,
   round(lv - lag(lv, 5) OVER w, 5) AS volume_change_5, round(abs(r1) / (volume / 1e9), 4) AS illiquidity
-FROM s WINDOW w AS (PARTITION BY secid ORDER BY day), t AS (PARTITION BY secid ORDER BY day ROWS 19 PRECEDING)""")
+FROM s WINDOW w AS (PARTITION BY secid ORDER BY day),
+t AS (PARTITION BY secid ORDER BY day ROWS 19 PRECEDING)""")
 def instrument_bank(spark, sf):
     """Returns without unadjusted jumps, volatility, range, volume and illiquidity of every instrument."""
     w = X.series("secid", "day")
@@ -146,7 +152,8 @@ def instrument_bank(spark, sf):
     )
 
 
-@query("""WITH o AS (SELECT DISTINCT secid, dt_msk, close FROM moex_candles), s AS (SELECT secid, count(*) AS n, avg((close IS NULL OR NOT close > 0)::INT) AS invalid FROM o GROUP BY 1)
+@query("""WITH o AS (SELECT DISTINCT secid, dt_msk, close FROM moex_candles),
+s AS (SELECT secid, count(*) AS n, avg((close IS NULL OR NOT close > 0)::INT) AS invalid FROM o GROUP BY 1)
 SELECT secid, n, round(invalid, 6) AS invalid_share, n >= 252 AND invalid <= 0.05 AND n >= ceil(max(n) OVER (PARTITION BY asset_class) * CASE WHEN asset_class LIKE '%future%' THEN 0.35 ELSE 0.8 END) AS eligible FROM s JOIN moex_universe USING (secid)""")
 def instrument_coverage(spark, sf):
     """Which instruments have enough usable rows, beside the best covered of their class."""
@@ -157,8 +164,10 @@ def instrument_coverage(spark, sf):
     return s.select("secid", "n", r6("invalid").alias("invalid_share"), ((c("n") >= 252) & (c("invalid") <= 0.05) & (c("n") >= least)).alias("eligible"))
 
 
-@query(f"""WITH {_DAILY}, t AS (SELECT day FROM q WHERE secid = (SELECT min(secid) FROM q)), u AS (SELECT secid, asset_class FROM moex_universe)
-SELECT day, avg(CASE WHEN asset_class = 'fx' THEN close END) AS fx, round(avg(close), 4) AS every, count(close) AS instruments FROM (SELECT * FROM t LEFT JOIN q USING (day)) LEFT JOIN u USING (secid) GROUP BY 1""")
+@query(f"""WITH {_DAILY}, t AS (SELECT day FROM q WHERE secid = (SELECT min(secid) FROM q)),
+u AS (SELECT secid, asset_class FROM moex_universe)
+SELECT day, avg(CASE WHEN asset_class = 'fx' THEN close END) AS fx, round(avg(close), 4) AS every, count(close) AS instruments FROM (SELECT * FROM t
+  LEFT JOIN q USING (day)) LEFT JOIN u USING (secid) GROUP BY 1""")
 def universe_matrix(spark, sf):
     """The days of one target instrument, and beside each the other instruments' closes of the day, never filled: their mean by class and how many there are."""
     q = _instruments(spark, sf)
@@ -172,7 +181,8 @@ _WIN = "WINDOW w AS (PARTITION BY corridor ORDER BY day), "
 _T = ", ".join(f"t{n} AS (PARTITION BY corridor ORDER BY day ROWS {n - 1} PRECEDING)" for n in (5, 10, 20, 60, 252))
 
 
-@query(f"""WITH {{D}}, u AS (SELECT day, price AS usd FROM d WHERE corridor = '1-URGENT'), j AS (SELECT d.*, usd, usd / price AS local FROM d LEFT JOIN u USING (day)),
+@query(f"""WITH {{D}}, u AS (SELECT day, price AS usd FROM d WHERE corridor = '1-URGENT'),
+j AS (SELECT d.*, usd, usd / price AS local FROM d LEFT JOIN u USING (day)),
 r AS (SELECT *, price / lag(price) OVER w - 1 AS r1, price / lag(price, 3) OVER w - 1 AS r3, price / lag(price, 20) OVER w - 1 AS r20, usd / lag(usd, 3) OVER w - 1 AS leg3, local / lag(local, 3) OVER w - 1 AS other3 FROM j {_WIN}{_T}),
 v AS (SELECT *, {", ".join(f"CASE WHEN count(r1) OVER t{n} = {n} THEN stddev_samp(r1) OVER t{n} END AS vol{n}" for n in (5, 10, 20))},
   {", ".join(f"CASE WHEN count(price) OVER t{n} = {n} THEN price / min(price) OVER t{n} - 1 END AS over{n}, CASE WHEN count(price) OVER t{n} = {n} THEN price / max(price) OVER t{n} - 1 END AS under{n}, CASE WHEN count(price) OVER t{n} = {n} THEN (price - avg(price) OVER t{n}) / nullif(stddev_samp(price) OVER t{n}, 0) END AS z{n}" for n in (20, 60))},
@@ -201,18 +211,20 @@ def corridor_bank(spark, sf):
     )
 
 
-_LINE = """s AS (SELECT event_type AS series, CAST(ts AS DATE) AS day, count(*) AS articles FROM events WHERE ts IS NOT NULL AND hour(ts) < 12 GROUP BY 1, 2),
-days AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM s), seen AS (SELECT DISTINCT day FROM s),
+_LINE = """s AS (SELECT event_type AS series, CAST(ts AS DATE) AS day, count(*) AS articles FROM events WHERE ts IS NOT NULL GROUP BY 1, 2),
+days AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM s),
+seen AS (SELECT DISTINCT day FROM s),
 g AS (SELECT n.series, days.day, seen.day IS NOT NULL AS observed FROM (SELECT DISTINCT series FROM s) n, days LEFT JOIN seen USING (day)),
 k AS (SELECT g.series, g.day, observed, CASE WHEN observed THEN coalesce(articles, 0) END AS articles FROM g LEFT JOIN s USING (series, day))"""
 
 
 @query(f"""WITH {_LINE} SELECT series, day + 1 AS feature_day, NOT observed AS missing, articles, sum(articles) OVER w7 AS articles_7d, round(avg(observed::INT) OVER w7, 6) AS coverage_7d,
   round(CASE WHEN count(articles) OVER p >= 10 THEN (articles - avg(articles) OVER p) / nullif(stddev_samp(articles) OVER p, 0) END, 4) AS shock
-FROM k WINDOW w7 AS (PARTITION BY series ORDER BY day ROWS 6 PRECEDING), p AS (PARTITION BY series ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)""")
+FROM k WINDOW w7 AS (PARTITION BY series ORDER BY day ROWS 6 PRECEDING),
+p AS (PARTITION BY series ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)""")
 def timeline_bank(spark, sf):
     """Daily counts of every series: zero on days on which any series was seen, unknown on days without any; sums, coverage and shocks, usable the day after."""
-    s = P.table(spark, sf, "events").where(c("ts").isNotNull() & (F.hour(c("ts").cast("timestamp")) < 12)).groupBy(c("event_type").alias("series"), c("ts").cast("date").alias("day")).agg(F.count("*").alias("articles"))
+    s = P.table(spark, sf, "events").where("ts is not null").groupBy(c("event_type").alias("series"), c("ts").cast("date").alias("day")).agg(F.count("*").alias("articles"))
     span = s.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
     days = s.select("series").distinct().withColumn("day", F.explode(F.sequence(F.lit(span["lo"]).cast("date"), F.lit(span["hi"]).cast("date"))))
     seen = s.select("day").distinct().withColumn("observed", F.lit(True))
@@ -223,10 +235,12 @@ def timeline_bank(spark, sf):
     return k.select("series", F.date_add("day", 1).alias("feature_day"), (~c("observed")).alias("missing"), "articles", F.sum("articles").over(t).alias("articles_7d"), r6(F.avg(c("observed").cast("int")).over(t)).alias("coverage_7d"), r4(X.zscore(c("articles"), w, 30, 10, lag=1)).alias("shock"))
 
 
-@query("""WITH o AS (SELECT DISTINCT provider, observation_date AS day, known_at, release_id, policy_rate_pct AS rate FROM provider_rates WHERE policy_rate_pct IS NOT NULL AND observation_date IS NOT NULL AND provider IS NOT NULL),
+@query("""WITH o AS (SELECT DISTINCT provider, observation_date AS day, known_at, release_id, policy_rate_pct AS rate FROM provider_rates
+  WHERE policy_rate_pct IS NOT NULL AND observation_date IS NOT NULL AND provider IS NOT NULL),
 k AS (SELECT provider, day, max_by(rate, (coalesce(epoch_us(known_at), 0), release_id)) AS rate FROM o GROUP BY 1, 2),
 m AS (SELECT *, rate - lag(rate) OVER w AS step FROM k WINDOW w AS (PARTITION BY provider ORDER BY day)),
-n AS (SELECT *, max(CASE WHEN step <> 0 THEN day END) OVER w AS moved, last_value(CASE WHEN step <> 0 THEN step END IGNORE NULLS) OVER w AS last_move FROM m WINDOW w AS (PARTITION BY provider ORDER BY day))
+n AS (SELECT *, max(CASE WHEN step <> 0 THEN day END) OVER w AS moved, last_value(CASE WHEN step <> 0 THEN step END IGNORE NULLS) OVER w AS last_move FROM m
+  WINDOW w AS (PARTITION BY provider ORDER BY day))
 SELECT provider, day, round(rate, 6) AS rate, round(rate - lag(rate, 5) OVER w, 6) AS change_5, round(rate - lag(rate, 20) OVER w, 6) AS change_20, round(last_move, 6) AS last_move, day - moved AS days_since_move FROM n WINDOW w AS (PARTITION BY provider ORDER BY day)""")
 def rate_bank(spark, sf):
     """Policy rate levels, changes over five and twenty releases, the last move and its age."""
@@ -240,7 +254,8 @@ def rate_bank(spark, sf):
     return m.select("provider", "day", r6("rate").alias("rate"), *[r6(c("rate") - F.lag("rate", n).over(w)).alias(f"change_{n}") for n in (5, 20)], r6(X.fill_forward(moved, w)).alias("last_move"), F.date_diff("day", since).alias("days_since_move"))
 
 
-@query("""WITH {D}, r AS (SELECT corridor, day, ln(price / lag(price) OVER (PARTITION BY corridor ORDER BY day)) AS r FROM d), l AS (SELECT corridor, day, list(r) OVER w AS v, count(r) OVER w AS n FROM r WINDOW w AS (PARTITION BY corridor ORDER BY day ROWS 4 PRECEDING)),
+@query("""WITH {D}, r AS (SELECT corridor, day, ln(price / lag(price) OVER (PARTITION BY corridor ORDER BY day)) AS r FROM d),
+l AS (SELECT corridor, day, list(r) OVER w AS v, count(r) OVER w AS n FROM r WINDOW w AS (PARTITION BY corridor ORDER BY day ROWS 4 PRECEDING)),
 s AS (SELECT corridor, day, v, row_number() OVER (PARTITION BY corridor ORDER BY day) - 1 AS i FROM l WHERE n = 5)
 SELECT corridor, day, round((v[1] - list_avg(v)) / list_stddev_pop(v), 4) AS s1, round((v[3] - list_avg(v)) / list_stddev_pop(v), 4) AS s3, round((v[5] - list_avg(v)) / list_stddev_pop(v), 4) AS s5 FROM s WHERE i % 3 = 0""")
 def shape_rows(spark, sf):
@@ -273,7 +288,8 @@ def last_spot_of_day(spark, sf):
     return P.daily_panel(spark, sf).join(s, "day").select(c("corridor").alias("contract"), "day", "series", r6(c("price") / c("spot") - 1).alias("basis"))
 
 
-@query("""WITH {H} SELECT corridor, hour, round(lead(price, 3) OVER w / price - 1, 6) AS forward_3 FROM h WINDOW w AS (PARTITION BY corridor ORDER BY hour) QUALIFY CAST(lead(hour, 3) OVER w AS DATE) = CAST(hour AS DATE)""")
+@query("""WITH {H} SELECT corridor, hour, round(lead(price, 3) OVER w / price - 1, 6) AS forward_3 FROM h WINDOW w AS (PARTITION BY corridor ORDER BY hour)
+  QUALIFY CAST(lead(hour, 3) OVER w AS DATE) = CAST(hour AS DATE)""")
 def forward_same_day(spark, sf):
     """The return over the next three rows of the same day; where the third lies on another day there is none."""
     w = X.series("corridor", "hour")
@@ -281,7 +297,8 @@ def forward_same_day(spark, sf):
     return d.where(c("then").cast("date") == c("hour").cast("date")).drop("then")
 
 
-@query("""WITH {D}, r AS (SELECT *, abs(price - median(price) OVER (PARTITION BY corridor)) AS dev FROM d), m AS (SELECT *, median(dev) OVER (PARTITION BY corridor) AS mad FROM r) SELECT corridor, day, round(dev / (1.4826 * nullif(mad, 0)), 4) AS robust_distance FROM m""")
+@query("""WITH {D}, r AS (SELECT *, abs(price - median(price) OVER (PARTITION BY corridor)) AS dev FROM d),
+m AS (SELECT *, median(dev) OVER (PARTITION BY corridor) AS mad FROM r) SELECT corridor, day, round(dev / (1.4826 * nullif(mad, 0)), 4) AS robust_distance FROM m""")
 def robust_distance(spark, sf):
     """How many robust standard deviations a price lies from its corridor's median."""
     d = P.daily_panel(spark, sf)
@@ -291,10 +308,63 @@ def robust_distance(spark, sf):
     return d.join(mad, "corridor").select("corridor", "day", r4(F.try_divide(c("dev"), 1.4826 * c("mad"))).alias("robust_distance"))
 
 
-@query("""WITH q AS (SELECT DISTINCT quote_id, provider, available_at, bid_uzs_per_rub AS bid, ask_uzs_per_rub AS ask FROM bank_quotes WHERE bid_uzs_per_rub > 0 AND ask_uzs_per_rub > 0), v AS (SELECT provider, abs(ask / bid - 1) * 10000 AS bps FROM q)
+@query("""WITH q AS (SELECT DISTINCT quote_id, provider, available_at, bid_uzs_per_rub AS bid, ask_uzs_per_rub AS ask FROM bank_quotes
+  WHERE bid_uzs_per_rub > 0 AND ask_uzs_per_rub > 0),
+v AS (SELECT provider, abs(ask / bid - 1) * 10000 AS bps FROM q)
 SELECT provider, count(*) AS n, round(quantile_cont(bps, 0.5), 3) AS median_bps, round(quantile_cont(bps, 0.95), 3) AS p95_bps, CASE WHEN count(*) >= 30 THEN 'tested' ELSE 'not_testable' END AS status FROM v GROUP BY 1""")
 def quote_fidelity(spark, sf):
     """Median and 95th percentile of the absolute deviation of the two sides, or that a provider has too few quotes to tell."""
     q = P.table(spark, sf, "bank_quotes").where("bid_uzs_per_rub > 0 and ask_uzs_per_rub > 0").select("quote_id", "provider", "available_at", "bid_uzs_per_rub", "ask_uzs_per_rub").distinct()
     v = q.withColumn("bps", F.abs(c("ask_uzs_per_rub") / c("bid_uzs_per_rub") - 1) * 10_000)
     return v.groupBy("provider").agg(F.count("*").alias("n"), F.round(F.percentile("bps", F.lit(0.5)), 3).alias("median_bps"), F.round(F.percentile("bps", F.lit(0.95)), 3).alias("p95_bps"), F.when(F.count("*") >= 30, "tested").otherwise("not_testable").alias("status"))
+
+
+@query("""WITH {D}, i AS (SELECT corridor, day, n AS level, ln(1 + n) AS log FROM d)
+SELECT corridor, day + 1 AS feature_day, level, round(log - lag(log) OVER w, 6) AS log_change_1, round(log - lag(log, 7) OVER w, 6) AS log_change_7,
+  round(CASE WHEN count(level) OVER t7 >= 3 THEN avg(level) OVER t7 END, 6) AS mean_7,
+  round(CASE WHEN count(level) OVER p30 >= 15 THEN (level - avg(level) OVER p30) / nullif(stddev_samp(level) OVER p30, 0) END, 4) AS z30,
+  round(CASE WHEN count(level) OVER p90 >= 45 THEN (level - avg(level) OVER p90) / nullif(stddev_samp(level) OVER p90, 0) END, 4) AS z90
+FROM i WINDOW w AS (PARTITION BY corridor ORDER BY day),
+t7 AS (PARTITION BY corridor ORDER BY day ROWS 6 PRECEDING),
+  p30 AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING),
+p90 AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING)""")
+def index_bank(spark, sf):
+    """A daily index: level, log changes, mean and z-scores against its own past, usable the day after."""
+    w, log = DAY(), F.log1p("n")
+    z = lambda n: r4(X.zscore(c("n"), w, n, n // 2, lag=1))
+    return P.daily_panel(spark, sf).select("corridor", F.date_add("day", 1).alias("feature_day"), c("n").alias("level"), r6(log - F.lag(log).over(w)).alias("log_change_1"), r6(log - F.lag(log, 7).over(w)).alias("log_change_7"), r6(X.rolling(F.avg, c("n"), w, 7, 3)).alias("mean_7"), z(30).alias("z30"), z(90).alias("z90"))
+
+
+@query(f"""WITH {{D}}, {_MONTH}, r AS (SELECT corridor, day, price / lag(price, 5) OVER w - 1 AS r5, price / lag(price, 20) OVER w - 1 AS r20 FROM d
+  WINDOW w AS (PARTITION BY corridor ORDER BY day)),
+j AS (SELECT r.*, k.level, k.change_1m, k.z12 FROM r ASOF LEFT JOIN k ON r.corridor = k.corridor AND r.day >= k.known)
+SELECT corridor, day, round(r5 - r20 / 4, 6) AS acceleration, round(r20 - change_1m / level, 6) AS divergence, round(r20 * z12, 5) AS momentum_by_z, round(change_1m / level * 100, 5) AS monthly_pct FROM j WHERE level IS NOT NULL""")
+def macro_interactions(spark, sf):
+    """What daily momentum and the last public month say together: acceleration, divergence and their product."""
+    p, w = c("price"), DAY()
+    d = P.daily_panel(spark, sf).select("corridor", "day", X.change(p, w, 5).alias("r5"), X.change(p, w, 20).alias("r20"))
+    j = asof_join(d, _monthly(spark, sf), by="corridor", left_on="day", right_on="known", columns=["level", "change_1m", "z12"], prefix="m_").where("m_level is not null")
+    share = c("m_change_1m") / c("m_level")
+    return j.select("corridor", "day", r6(c("r5") - c("r20") / 4).alias("acceleration"), r6(c("r20") - share).alias("divergence"), F.round(c("r20") * c("m_z12"), 5).alias("momentum_by_z"), F.round(share * 100, 5).alias("monthly_pct"))
+
+
+@query("""WITH {D}, cal AS (SELECT corridor, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY 1)
+SELECT corridor, year(day) AS year, count(*) AS weekdays, count(*) - count(d.price) AS missing FROM cal LEFT JOIN d USING (corridor, day)
+  WHERE isodow(day) <= 5 GROUP BY 1, 2""")
+def weekday_gaps(spark, sf):
+    """Weekdays of each year and how many have no row."""
+    d = P.daily_panel(spark, sf)
+    cal = d.groupBy("corridor").agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day")).where(F.weekday("day") < 5)
+    return cal.join(d, ["corridor", "day"], "left").groupBy("corridor", F.year("day").alias("year")).agg(F.count("*").alias("weekdays"), (F.count("*") - F.count("price")).alias("missing"))
+
+
+@query("""WITH s AS (SELECT DISTINCT secid, dt_msk, close FROM moex_candles WHERE close > 0),
+r AS (SELECT secid, round(close / lag(close) OVER (PARTITION BY secid ORDER BY dt_msk, close) - 1, 9) AS r FROM s)
+SELECT secid, count(r) AS n, sum((abs(r - m) > 5 * sd)::INT)::BIGINT AS outliers
+  FROM (SELECT *, avg(r) OVER (PARTITION BY secid) AS m, stddev_samp(r) OVER (PARTITION BY secid) AS sd FROM r WHERE r IS NOT NULL) GROUP BY 1""")
+def outlier_5sigma(spark, sf):
+    """Returns further than five standard deviations from their instrument's mean; mean and deviation are aggregates that meet the rows by a join."""
+    s = P.table(spark, sf, "moex_candles").where("close > 0").select("secid", "dt_msk", "close").distinct()
+    r = s.select("secid", F.round(X.change(c("close"), X.series("secid", "dt_msk", "close")), 9).alias("r")).where("r is not null")
+    m = r.groupBy("secid").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("sd"))
+    return r.join(m, "secid").groupBy("secid").agg(F.count("r").alias("n"), F.sum((F.abs(c("r") - c("m")) > 5 * c("sd")).cast("long")).alias("outliers"))

@@ -5,13 +5,16 @@ SQL = {}
 SQL["p1_found"] = """
 WITH ses AS (
   SELECT DISTINCT CAST(session_date AS DATE) AS d, open_at, close_at FROM trading_sessions WHERE open_at < close_at
-), src AS (
+),
+src AS (
   SELECT secid, min(TRY_CAST(availability.intraday_10m_from AS DATE)) AS since FROM moex_universe
   WHERE secid IS NOT NULL AND TRY_CAST(availability.intraday_10m_from AS DATE) IS NOT NULL GROUP BY secid
-), grid AS (
+),
+grid AS (
   SELECT secid, unnest(generate_series(open_at, close_at - INTERVAL 1 MICROSECOND, INTERVAL 10 MINUTE)) AS slot
   FROM src JOIN ses ON d >= since
-), read AS (
+),
+read AS (
   SELECT DISTINCT secid, open_at + to_minutes(CAST(10 * floor((epoch_us(timestamp) - epoch_us(open_at)) / 600000000) AS BIGINT)) AS slot
   FROM intraday_readings JOIN ses ON timestamp >= open_at AND timestamp < close_at + INTERVAL 10 MINUTE
   WHERE close > 0 AND isfinite(close)
@@ -34,17 +37,21 @@ _DAYS = """
 WITH one AS (
   SELECT instrument_id, trade_date, max(regret_bps) AS regret, max(close) AS close FROM outcome_days
   WHERE instrument_id IS NOT NULL AND trade_date IS NOT NULL GROUP BY ALL
-), cal AS (
+),
+cal AS (
   SELECT instrument_id, min(trade_date) AS d0, CAST(unnest(generate_series(min(trade_date), max(trade_date), INTERVAL 1 DAY)) AS DATE) AS day FROM one GROUP BY 1
-), dense AS (
+),
+dense AS (
   SELECT cal.*, CASE WHEN isnan(regret) THEN NULL ELSE regret END AS regret, CASE WHEN close <> 0 AND NOT isnan(close) THEN close END AS close
   FROM cal LEFT JOIN one ON cal.instrument_id = one.instrument_id AND cal.day = one.trade_date
-), win AS (
+),
+win AS (
   SELECT instrument_id, day, d0,
     coalesce(sum(regret) OVER w7, 0) AS r7, coalesce(sum(regret) OVER w30, 0) AS r30, count(regret) OVER w7 AS rn7, count(regret) OVER w30 AS rn30,
     coalesce(sum(close) OVER w7, 0) AS c7, coalesce(sum(close) OVER w30, 0) AS c30, count(close) OVER w7 AS cn7, count(close) OVER w30 AS cn30
   FROM dense
-  WINDOW w7 AS (PARTITION BY instrument_id ORDER BY day ROWS 6 PRECEDING), w30 AS (PARTITION BY instrument_id ORDER BY day ROWS 29 PRECEDING)
+  WINDOW w7 AS (PARTITION BY instrument_id ORDER BY day ROWS 6 PRECEDING),
+w30 AS (PARTITION BY instrument_id ORDER BY day ROWS 29 PRECEDING)
 )
 """
 
@@ -72,23 +79,28 @@ FROM win
 SQL["p1_series"] = """
 WITH ses AS (
   SELECT DISTINCT CAST(session_date AS DATE) AS d, open_at, close_at FROM trading_sessions WHERE open_at < close_at
-), src AS (
+),
+src AS (
   SELECT secid, min(TRY_CAST(availability.intraday_10m_from AS DATE)) AS since FROM moex_universe
   WHERE secid IS NOT NULL AND TRY_CAST(availability.intraday_10m_from AS DATE) IS NOT NULL GROUP BY secid
-), grid AS (
+),
+grid AS (
   SELECT secid, open_at, unnest(generate_series(0, CAST(ceil((epoch_us(close_at) - epoch_us(open_at)) / 600000000) AS BIGINT) - 1)) AS k
   FROM src JOIN ses ON d >= since
-), read AS (
+),
+read AS (
   SELECT secid, open_at, CAST(floor((epoch_us(timestamp) - epoch_us(open_at)) / 600000000) AS BIGINT) AS k,
     min(struct_pack(us := epoch_us(timestamp), v := close)) AS f, max(struct_pack(us := epoch_us(timestamp), v := close)) AS l
   FROM intraday_readings JOIN ses ON timestamp >= open_at AND timestamp < close_at + INTERVAL 10 MINUTE
   WHERE close > 0 AND isfinite(close) GROUP BY 1, 2, 3
-), seen AS (
+),
+seen AS (
   SELECT secid, epoch_us(open_at) + k * 600000000 AS slot_us, f,
     last_value(l IGNORE NULLS) OVER (PARTITION BY secid, open_at ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,
     first_value(f IGNORE NULLS) OVER (PARTITION BY secid, open_at ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n
   FROM grid LEFT JOIN read USING (secid, open_at, k)
-), lined AS (
+),
+lined AS (
   SELECT *, CASE WHEN n.us = slot_us THEN n.v WHEN n.us - p.us <= 1800000000 THEN p.v + (n.v - p.v) * ((slot_us - p.us) / (n.us - p.us)) END AS line FROM seen
 )
 SELECT secid AS source, slot_us, round(coalesce(line, f.v), 6) AS value, CASE WHEN f IS NOT NULL THEN 'observed' WHEN line IS NOT NULL THEN 'filled' ELSE 'missing' END AS mark, p.us AS prev_us, n.us AS next_us FROM lined
@@ -98,10 +110,12 @@ SQL["p5_known"] = """
 WITH r AS (
   SELECT DISTINCT provider, release_id, observation_date, known_at, policy_rate_pct FROM provider_rates
   WHERE observation_date IS NOT NULL AND known_at IS NOT NULL
-), t AS (
+),
+t AS (
   SELECT q.provider, q.available_at, max(struct_pack(o := r.observation_date, k := r.known_at, i := r.release_id)) AS best
   FROM (SELECT DISTINCT provider, available_at FROM bank_quotes) q JOIN r ON q.provider = r.provider AND r.known_at <= q.available_at AND r.observation_date <= CAST(q.available_at AS DATE) GROUP BY 1, 2
-), v AS (SELECT t.*, max(policy_rate_pct) AS rate FROM t JOIN r ON r.provider = t.provider AND r.release_id = best.i AND r.observation_date = best.o AND r.known_at = best.k GROUP BY ALL)
+),
+v AS (SELECT t.*, max(policy_rate_pct) AS rate FROM t JOIN r ON r.provider = t.provider AND r.release_id = best.i AND r.observation_date = best.o AND r.known_at = best.k GROUP BY ALL)
 SELECT q.*, best.i AS known_release_id, CAST(best.o AS VARCHAR) AS known_observation_date, best.k AS known_known_at, rate AS known_policy_rate_pct
 FROM bank_quotes q LEFT JOIN v ON q.provider = v.provider AND q.available_at = v.available_at
 """

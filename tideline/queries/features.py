@@ -59,7 +59,8 @@ def returns_bank(spark, sf):
 
 @query("""WITH {D}, r AS (SELECT corridor, day, price / lag(price) OVER (PARTITION BY corridor ORDER BY day) - 1 AS r FROM d)
 SELECT corridor, day, CASE WHEN count(r) OVER w20 >= 20 THEN round(stddev_samp(r) OVER w20, 6) END AS vol20, CASE WHEN count(r) OVER w60 >= 12 THEN round(stddev_samp(r) OVER w60, 6) END AS vol60
-FROM r WINDOW w20 AS (PARTITION BY corridor ORDER BY day ROWS 19 PRECEDING), w60 AS (PARTITION BY corridor ORDER BY day ROWS 59 PRECEDING)""")
+FROM r WINDOW w20 AS (PARTITION BY corridor ORDER BY day ROWS 19 PRECEDING),
+w60 AS (PARTITION BY corridor ORDER BY day ROWS 59 PRECEDING)""")
 def rolling_vol(spark, sf):
     r = P.daily_panel(spark, sf).withColumn("r", X.change(c("price"), DAY()))
     return r.select("corridor", "day", r6(X.rolling(F.stddev_samp, c("r"), DAY(), 20)).alias("vol20"), r6(X.rolling(F.stddev_samp, c("r"), DAY(), 60, 12)).alias("vol60"))
@@ -72,7 +73,8 @@ def rolling_zscore(spark, sf):
 
 
 @query("""WITH {D} SELECT corridor, day, CASE WHEN count(price) OVER w >= 60 THEN round(price / min(price) OVER w - 1, 6) END AS over_low, CASE WHEN count(price) OVER w >= 60 THEN round(price / max(price) OVER w - 1, 6) END AS under_high, price = min(price) OVER v AS local_dip
-FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day ROWS 59 PRECEDING), v AS (PARTITION BY corridor ORDER BY day ROWS 6 PRECEDING)""")
+FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day ROWS 59 PRECEDING),
+v AS (PARTITION BY corridor ORDER BY day ROWS 6 PRECEDING)""")
 def distance_minmax(spark, sf):
     return P.daily_panel(spark, sf).select("corridor", "day", r6(X.distance_to(F.min, c("price"), DAY(), 60)).alias("over_low"), r6(X.distance_to(F.max, c("price"), DAY(), 60)).alias("under_high"), (c("price") == F.min("price").over(X.trailing(DAY(), 7))).alias("local_dip"))
 
@@ -108,7 +110,8 @@ def causal_percentile(spark, sf):
     return P.daily_panel(spark, sf).select("corridor", "day", r6(X.causal_percentile(c("price"), DAY(), 60, 20)).alias("causal_rank"))
 
 
-@query("""WITH {D}, q AS (SELECT corridor, day, price, n, CASE WHEN count(price) OVER w >= 20 THEN quantile_cont(price, 0.6) OVER w END AS threshold FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
+@query("""WITH {D}, q AS (SELECT corridor, day, price, n, CASE WHEN count(price) OVER w >= 20 THEN quantile_cont(price, 0.6) OVER w END AS threshold FROM d
+  WINDOW w AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
 SELECT corridor, day, round(threshold, 4) AS threshold FROM q WHERE price >= threshold""")
 def trailing_quantile_candidates(spark, sf):
     q = P.daily_panel(spark, sf).withColumn("threshold", X.trailing_quantile(c("price"), DAY(), 60, 0.6, 20))
@@ -122,8 +125,10 @@ def expanding_terciles(spark, sf):
     return d.select("corridor", "day", F.when(c("lo").isNotNull(), F.when(c("price") <= c("lo"), "low").when(c("price") <= c("hi"), "mid").otherwise("high")).alias("tercile"))
 
 
-@query("""WITH {D}, m AS (SELECT *, avg(price) OVER (PARTITION BY day) AS market FROM d), r AS (SELECT corridor, day, price / lag(price) OVER w - 1 AS y, market / lag(market) OVER w - 1 AS x FROM m WINDOW w AS (PARTITION BY corridor ORDER BY day)),
-b AS (SELECT *, CASE WHEN regr_count(y, x) OVER v >= 60 THEN covar_samp(y, x) OVER v / nullif(var_samp(x) OVER v, 0) END AS beta FROM r WINDOW v AS (PARTITION BY corridor ORDER BY day ROWS 119 PRECEDING))
+@query("""WITH {D}, m AS (SELECT *, avg(price) OVER (PARTITION BY day) AS market FROM d),
+r AS (SELECT corridor, day, price / lag(price) OVER w - 1 AS y, market / lag(market) OVER w - 1 AS x FROM m WINDOW w AS (PARTITION BY corridor ORDER BY day)),
+b AS (SELECT *, CASE WHEN regr_count(y, x) OVER v >= 60 THEN covar_samp(y, x) OVER v / nullif(var_samp(x) OVER v, 0) END AS beta FROM r
+  WINDOW v AS (PARTITION BY corridor ORDER BY day ROWS 119 PRECEDING))
 SELECT corridor, day, round(lag(beta) OVER w, 5) AS past_beta, round(y - lag(beta) OVER w * x, 5) AS residual FROM b WINDOW w AS (PARTITION BY corridor ORDER BY day)""")
 def rolling_beta_residual(spark, sf):
     m = P.daily_panel(spark, sf).withColumn("market", F.avg("price").over(Window.partitionBy("day")))
@@ -133,7 +138,8 @@ def rolling_beta_residual(spark, sf):
 
 
 @query("""WITH {D}, k AS (SELECT corridor, day, CASE WHEN count(*) OVER w >= 12 THEN covar_samp(price, n) OVER w / nullif((stddev_samp(price) OVER w) * (stddev_samp(n) OVER w), 0) END AS k FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day ROWS 19 PRECEDING))
-SELECT corridor, day, CASE WHEN count(k) OVER v >= 40 THEN round(abs(k - avg(k) OVER v), 5) END AS corr_break FROM k WINDOW v AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)""")
+SELECT corridor, day, CASE WHEN count(k) OVER v >= 40 THEN round(abs(k - avg(k) OVER v), 5) END AS corr_break FROM k
+  WINDOW v AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)""")
 def rolling_corr_break(spark, sf):
     frame = X.trailing(DAY(), 20)
     spread = F.nullif(F.stddev_samp("price").over(frame) * F.stddev_samp("n").over(frame), F.lit(0.0))
@@ -155,7 +161,8 @@ def streak_onset(spark, sf):
     return s.select("corridor", "day", "streak", X.onset(c("streak"), DAY()).alias("onset"))
 
 
-@query("""WITH {D}, m AS (SELECT corridor, day, CASE WHEN count(*) OVER a >= 5 THEN avg(price) OVER a END AS fast, CASE WHEN count(*) OVER b >= 20 THEN avg(price) OVER b END AS slow FROM d WINDOW a AS (PARTITION BY corridor ORDER BY day ROWS 4 PRECEDING), b AS (PARTITION BY corridor ORDER BY day ROWS 19 PRECEDING)),
+@query("""WITH {D}, m AS (SELECT corridor, day, CASE WHEN count(*) OVER a >= 5 THEN avg(price) OVER a END AS fast, CASE WHEN count(*) OVER b >= 20 THEN avg(price) OVER b END AS slow FROM d WINDOW a AS (PARTITION BY corridor ORDER BY day ROWS 4 PRECEDING),
+b AS (PARTITION BY corridor ORDER BY day ROWS 19 PRECEDING)),
 s AS (SELECT corridor, day, coalesce(round(fast, 3) > round(slow, 3), false) AS up FROM m)
 SELECT corridor, day FROM (SELECT *, coalesce(lag(up) OVER (PARTITION BY corridor ORDER BY day), false) AS was FROM s) WHERE up AND NOT was""")
 def ma_cross(spark, sf):
@@ -164,7 +171,8 @@ def ma_cross(spark, sf):
     return s.withColumn("cross", X.onset(c("up"), DAY())).where("cross").select("corridor", "day")
 
 
-@query("""WITH {D}, cal AS (SELECT corridor, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY 1), j AS (SELECT cal.*, price FROM cal LEFT JOIN d USING (corridor, day))
+@query("""WITH {D}, cal AS (SELECT corridor, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY 1),
+j AS (SELECT cal.*, price FROM cal LEFT JOIN d USING (corridor, day))
 SELECT corridor, day, round(coalesce(price, last_value(price IGNORE NULLS) OVER (PARTITION BY corridor ORDER BY day ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)), 6) AS filled FROM j""")
 def ffill_limit3(spark, sf):
     d = P.daily_panel(spark, sf)
@@ -184,7 +192,8 @@ def lag_bank(spark, sf):
     return P.daily_panel(spark, sf).select("corridor", "day", *[F.lag("price", k).over(DAY()).alias(f"lag{k}") for k in (1, 2, 5, 10)])
 
 
-@query("""WITH {D}, r AS (SELECT corridor, day, price - lag(price) OVER w AS m FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day)), l AS (SELECT corridor, day, list(m) FILTER (m IS NOT NULL) OVER (PARTITION BY corridor ORDER BY day ROWS 9 PRECEDING) AS v FROM r)
+@query("""WITH {D}, r AS (SELECT corridor, day, price - lag(price) OVER w AS m FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day)),
+l AS (SELECT corridor, day, list(m) FILTER (m IS NOT NULL) OVER (PARTITION BY corridor ORDER BY day ROWS 9 PRECEDING) AS v FROM r)
 SELECT corridor, day, round(len(list_filter(v, lambda x: x > 0)) / len(v), 6) AS positive_share, CASE WHEN len(v) > 0 THEN len(list_filter(generate_series(2, len(v)), lambda i: sign(v[i]) <> sign(v[i - 1]))) END AS sign_changes, round(list_max(list_transform(v, lambda x: abs(x))), 4) AS largest_move FROM l WHERE len(v) > 0""")
 def path_summary(spark, sf):
     r = P.daily_panel(spark, sf).withColumn("m", c("price") - F.lag("price").over(DAY()))
@@ -194,7 +203,8 @@ def path_summary(spark, sf):
     return v.select("corridor", "day", r6(F.size(F.filter("v", lambda x: x > 0)) / F.size("v")).alias("positive_share"), changes.alias("sign_changes"), F.round(F.array_max(F.transform("v", F.abs)), 4).alias("largest_move"))
 
 
-@query("""WITH {H}, x AS (SELECT *, CAST(hour AS DATE) AS day, ln(price) - lag(ln(price)) OVER (PARTITION BY corridor, CAST(hour AS DATE) ORDER BY hour) AS r FROM h WHERE price > 0),
+@query("""WITH {H}, x AS (SELECT *, CAST(hour AS DATE) AS day, ln(price) - lag(ln(price)) OVER (PARTITION BY corridor, CAST(hour AS DATE) ORDER BY hour) AS r FROM h
+  WHERE price > 0),
 s AS (SELECT corridor, day, count(*) AS observations, sqrt(sum(r * r)) AS rv, sum(CASE WHEN r < 0 THEN r * r END) / nullif(sum(r * r), 0) AS downside, max(abs(r)) / nullif(sum(abs(r)), 0) AS largest, abs(sum(r)) / nullif(sum(abs(r)), 0) AS efficiency, max(price) / min(price) - 1 AS range, max_by(price, hour) AS last FROM x GROUP BY 1, 2)
 SELECT corridor, day, lag(observations) OVER w AS observations, round(lag(rv) OVER w, 6) AS rv, round(lag(downside) OVER w, 6) AS downside_share, round(lag(largest) OVER w, 6) AS largest_share, round(lag(efficiency) OVER w, 6) AS efficiency, round(lag(range) OVER w, 6) AS range FROM s WINDOW w AS (PARTITION BY corridor ORDER BY day)""")
 def session_path_stats(spark, sf):
@@ -218,14 +228,16 @@ def calendar_bank(spark, sf):
     return d.select("day", F.weekday("day").alias("weekday"), r6(F.sin(angle)).alias("month_sin"), r6(F.cos(angle)).alias("month_cos"), r6(left / 31).alias("to_month_end"), (F.dayofmonth("day") <= 5).alias("first_five"), (left < 5).alias("last_five"), F.dayofmonth("day").between(25, 28).alias("tax_days"), ((F.month("day") % 3 == 0) & (left < 10)).alias("quarter_end"))
 
 
-@query("""WITH {D}, r AS (SELECT corridor, day, price / lag(price) OVER w - 1 AS r FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day)), l AS (SELECT corridor, r, lag(r) OVER (PARTITION BY corridor ORDER BY day) AS p FROM r)
+@query("""WITH {D}, r AS (SELECT corridor, day, price / lag(price) OVER w - 1 AS r FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day)),
+l AS (SELECT corridor, r, lag(r) OVER (PARTITION BY corridor ORDER BY day) AS p FROM r)
 SELECT corridor, round(corr(r, p), 6) AS autocorrelation, round(covar_samp(r, p), 8) AS covariance, round(regr_slope(r, p), 6) AS slope, round(regr_intercept(r, p), 6) AS intercept, count(p) AS pairs FROM l GROUP BY 1""")
 def lead_lag_corr(spark, sf):
     r = P.daily_panel(spark, sf).withColumn("r", X.change(c("price"), DAY())).withColumn("p", F.lag("r").over(DAY()))
     return r.groupBy("corridor").agg(r6(F.corr("r", "p")).alias("autocorrelation"), F.round(F.covar_samp("r", "p"), 8).alias("covariance"), r6(F.regr_slope("r", "p")).alias("slope"), r6(F.regr_intercept("r", "p")).alias("intercept"), F.count("p").alias("pairs"))
 
 
-@query("""WITH {D}, m AS (SELECT corridor, day, price, product(price / lagged) OVER (PARTITION BY corridor ORDER BY day ROWS 2 PRECEDING) - 1 AS compounded FROM (SELECT *, lag(price) OVER (PARTITION BY corridor ORDER BY day) AS lagged FROM d))
+@query("""WITH {D}, m AS (SELECT corridor, day, price, product(price / lagged) OVER (PARTITION BY corridor ORDER BY day ROWS 2 PRECEDING) - 1 AS compounded
+  FROM (SELECT *, lag(price) OVER (PARTITION BY corridor ORDER BY day) AS lagged FROM d))
 SELECT corridor, day, round(compounded, 6) AS compounded FROM m""")
 def rolling_product(spark, sf):
     d = P.daily_panel(spark, sf).withColumn("g", c("price") / F.lag("price").over(DAY()))
@@ -233,7 +245,8 @@ def rolling_product(spark, sf):
 
 
 @query("""WITH {D}, r AS (SELECT corridor, day, price / lag(price) OVER w - 1 AS r FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day)),
-v AS (SELECT *, CASE WHEN count(r) OVER w >= 20 THEN stddev_samp(r) OVER w END AS vol, CASE WHEN count(r) OVER w >= 20 THEN avg(r) OVER w END AS drift FROM r WINDOW w AS (PARTITION BY corridor ORDER BY day ROWS 19 PRECEDING)),
+v AS (SELECT *, CASE WHEN count(r) OVER w >= 20 THEN stddev_samp(r) OVER w END AS vol, CASE WHEN count(r) OVER w >= 20 THEN avg(r) OVER w END AS drift FROM r
+  WINDOW w AS (PARTITION BY corridor ORDER BY day ROWS 19 PRECEDING)),
 q AS (SELECT *, CASE WHEN count(vol) OVER w >= 60 THEN quantile_cont(vol, 0.2) OVER w END AS lo, CASE WHEN count(vol) OVER w >= 60 THEN quantile_cont(vol, 0.8) OVER w END AS hi FROM v WINDOW w AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT corridor, day, CASE WHEN lo IS NULL OR vol IS NULL THEN NULL WHEN abs(r) > 3 * vol THEN 'SHOCK' WHEN vol > hi THEN 'HIGH_VOL' WHEN drift < -0.5 * vol / sqrt(20) THEN 'TREND_DOWN' WHEN drift > 0.5 * vol / sqrt(20) THEN 'TREND_UP' WHEN vol < lo THEN 'LOW_VOL' ELSE 'NORMAL' END AS regime FROM q""")
 def regime_label(spark, sf):

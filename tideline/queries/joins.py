@@ -51,7 +51,8 @@ def asof_hours(spark, sf):
 
 
 @query("""WITH {D}, hol AS (SELECT DISTINCT make_date(year(day), m, 1) AS h FROM d, (VALUES (1), (3), (5), (9)) v(m))
-SELECT DISTINCT day, day - p.h AS days_since, n.h - day AS days_until, coalesce(day = p.h, false) AS is_holiday FROM (SELECT DISTINCT day FROM d) x ASOF LEFT JOIN hol p ON x.day >= p.h ASOF LEFT JOIN hol n ON x.day <= n.h""")
+SELECT DISTINCT day, day - p.h AS days_since, n.h - day AS days_until, coalesce(day = p.h, false) AS is_holiday FROM (SELECT DISTINCT day FROM d) x
+  ASOF LEFT JOIN hol p ON x.day >= p.h ASOF LEFT JOIN hol n ON x.day <= n.h""")
 def nearest_holiday(spark, sf):
     days = P.daily_panel(spark, sf).select("day").distinct().withColumn("k", F.lit(1))
     hol = days.select("k", F.explode(F.array(*[F.make_date(F.year("day"), F.lit(m), F.lit(1)) for m in (1, 3, 5, 9)])).alias("h")).distinct()
@@ -68,7 +69,8 @@ def join_many_to_one(spark, sf):
     return contracts.join_validated(one, region, ["n_regionkey"], "inner").select("c_custkey", "c_name", "n_name", "r_name")
 
 
-@query("""WITH {D}, a AS (SELECT day, price AS high FROM d WHERE corridor = '2-HIGH'), b AS (SELECT day, price AS low FROM d WHERE corridor = '5-LOW') SELECT day, high, low FROM a FULL JOIN b USING (day)""")
+@query("""WITH {D}, a AS (SELECT day, price AS high FROM d WHERE corridor = '2-HIGH'),
+b AS (SELECT day, price AS low FROM d WHERE corridor = '5-LOW') SELECT day, high, low FROM a FULL JOIN b USING (day)""")
 def join_full_outer_panel(spark, sf):
     d = P.daily_panel(spark, sf)
     one = lambda k, n: d.where(c("corridor") == k).select("day", c("price").alias(n))
@@ -80,7 +82,8 @@ def semi(spark, sf):
     return P.table(spark, sf, "customer").join(P.table(spark, sf, "orders").select(c("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("""WITH {D}, cal AS (SELECT corridor, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY 1) SELECT corridor, day FROM cal ANTI JOIN d USING (corridor, day) WHERE isodow(day) <= 5""")
+@query("""WITH {D}, cal AS (SELECT corridor, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY 1) SELECT corridor, day
+  FROM cal ANTI JOIN d USING (corridor, day) WHERE isodow(day) <= 5""")
 def anti(spark, sf):
     """Weekdays without a row."""
     d = P.daily_panel(spark, sf)
@@ -100,7 +103,8 @@ def theta_deadline(spark, sf):
 
 
 @query("""WITH {D}, m AS (SELECT corridor, date_trunc('month', day)::DATE AS month, min(day) AS published FROM d GROUP BY 1, 2)
-SELECT m.corridor, m.month, count(*) AS rows_after, min_by(d.price, d.day) AS first_price, max_by(d.price, d.day) AS last_price FROM m JOIN d ON d.corridor = m.corridor AND d.day > m.published AND d.day <= last_day(m.published) GROUP BY 1, 2 HAVING count(*) >= 2""")
+SELECT m.corridor, m.month, count(*) AS rows_after, min_by(d.price, d.day) AS first_price, max_by(d.price, d.day) AS last_price FROM m
+  JOIN d ON d.corridor = m.corridor AND d.day > m.published AND d.day <= last_day(m.published) GROUP BY 1, 2 HAVING count(*) >= 2""")
 def event_window(spark, sf):
     """First and last price after a month's first day, up to its end."""
     d = P.daily_panel(spark, sf).withColumn("month", F.trunc("day", "month"))
@@ -115,7 +119,8 @@ def placebo_lag(spark, sf):
     return d.join(d.select("corridor", F.date_add("day", 364).alias("day"), c("price").alias("placebo")), ["corridor", "day"])
 
 
-@query("""WITH {H}, g AS (SELECT corridor, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM h GROUP BY 1) SELECT corridor, hour, coalesce(n, 0) AS n FROM g LEFT JOIN h USING (corridor, hour)""")
+@query("""WITH {H}, g AS (SELECT corridor, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM h
+  GROUP BY 1) SELECT corridor, hour, coalesce(n, 0) AS n FROM g LEFT JOIN h USING (corridor, hour)""")
 def grid_complete(spark, sf):
     h = P.hourly_panel(spark, sf)
     g = h.groupBy("corridor").agg(F.explode(F.sequence(F.min("hour"), F.max("hour"), F.expr("INTERVAL 1 HOUR"))).alias("hour"))
@@ -143,7 +148,8 @@ def leave_one_out_peers(spark, sf):
     )
 
 
-@query("""WITH q AS (SELECT DISTINCT quote_id, provider, available_at, bid_uzs_per_rub AS bid, ask_uzs_per_rub AS ask FROM bank_quotes WHERE bid_uzs_per_rub > 0 AND ask_uzs_per_rub > 0 AND available_at >= observed_at)
+@query("""WITH q AS (SELECT DISTINCT quote_id, provider, available_at, bid_uzs_per_rub AS bid, ask_uzs_per_rub AS ask FROM bank_quotes
+  WHERE bid_uzs_per_rub > 0 AND ask_uzs_per_rub > 0 AND available_at >= observed_at)
 SELECT CAST(available_at AS DATE) AS day, count(*) AS quotes, round(median((bid + ask) / 2), 6) AS mid, round(median((ask / bid - 1) * 10000), 4) AS spread_bps, round(max(ask), 6) AS highest FROM q GROUP BY 1""")
 def quote_medians(spark, sf):
     q = P.table(spark, sf, "bank_quotes").where("bid_uzs_per_rub > 0 and ask_uzs_per_rub > 0 and available_at >= observed_at").select("quote_id", "provider", "available_at", c("bid_uzs_per_rub").alias("bid"), c("ask_uzs_per_rub").alias("ask")).distinct()
@@ -161,7 +167,8 @@ def label_regret(spark, sf):
 
 
 _DUAL = """WITH {D}, x AS (SELECT corridor, day, greatest(0, (price - min(price) OVER s) / price) * 10000 AS short, greatest(0, (price - min(price) OVER l) / price) * 10000 AS long, count(*) OVER l AS n FROM d
-WINDOW s AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), l AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)) SELECT corridor, day, short <= %d AS short_hit, long <= %d AS long_hit, short <= %d AND long <= %d AS hit FROM x WHERE n = 20"""
+WINDOW s AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING),
+l AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)) SELECT corridor, day, short <= %d AS short_hit, long <= %d AS long_hit, short <= %d AND long <= %d AS hit FROM x WHERE n = 20"""
 
 
 def _dual(spark, sf, short, long):
@@ -187,7 +194,8 @@ def outcome_regret_benefit(spark, sf):
     return P.daily_panel(spark, sf).select("corridor", "day", r4(L.regret_best(p, w, 5)).alias("regret_bps"), r4(L.benefit_forward(p, w, 5)).alias("benefit_bps")).where("regret_bps is not null")
 
 
-_L = """WITH {D}, l AS (SELECT corridor, day, price, list(price) OVER (PARTITION BY corridor ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS f FROM d), s AS (SELECT *, """
+_L = """WITH {D}, l AS (SELECT corridor, day, price, list(price) OVER (PARTITION BY corridor ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS f FROM d),
+s AS (SELECT *, """
 
 
 @query(_L + """coalesce(list_position(list_transform(f, lambda x: (price / x - 1) * 10000 >= 2500), true), 0) AS lo, coalesce(list_position(list_transform(f, lambda x: (price / x - 1) * 10000 <= -5000), true), 0) AS hi FROM l WHERE len(f) = 5)
@@ -196,8 +204,10 @@ def label_triple_barrier(spark, sf):
     return P.daily_panel(spark, sf).select("corridor", "day", L.triple_barrier(c("price"), DAY(), 5, F.lit(2500), F.lit(5000)).alias("label")).where("label is not null")
 
 
-@query("""WITH {D}, r AS (SELECT *, price / lag(price) OVER (PARTITION BY corridor ORDER BY day) - 1 AS r FROM d), v AS (SELECT *, CASE WHEN count(r) OVER w >= 20 THEN round(stddev_samp(r) OVER w, 6) END AS vol, list(price) OVER (PARTITION BY corridor ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS f FROM r WINDOW w AS (PARTITION BY corridor ORDER BY day ROWS 19 PRECEDING)),
-b AS (SELECT *, least(greatest(vol * sqrt(5) * 10000 * 0.35, 15), 6000) AS better, least(greatest(vol * sqrt(5) * 10000 * 0.7, 30), 12000) AS worse FROM v WHERE vol IS NOT NULL AND len(f) = 5),
+@query("""WITH {D}, r AS (SELECT *, price / lag(price) OVER (PARTITION BY corridor ORDER BY day) - 1 AS r FROM d),
+v AS (SELECT *, CASE WHEN count(r) OVER w >= 20 THEN round(stddev_samp(r) OVER w, 6) END AS vol, list(price) OVER (PARTITION BY corridor ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS f FROM r WINDOW w AS (PARTITION BY corridor ORDER BY day ROWS 19 PRECEDING)),
+b AS (SELECT *, least(greatest(vol * sqrt(5) * 10000 * 0.35, 15), 6000) AS better, least(greatest(vol * sqrt(5) * 10000 * 0.7, 30), 12000) AS worse FROM v
+  WHERE vol IS NOT NULL AND len(f) = 5),
 s AS (SELECT *, coalesce(list_position(list_transform(f, lambda x: (price / x - 1) * 10000 >= better), true), 0) AS lo, coalesce(list_position(list_transform(f, lambda x: (price / x - 1) * 10000 <= -worse), true), 0) AS hi FROM b)
 SELECT corridor, day, CASE WHEN lo > 0 AND (hi = 0 OR lo <= hi) THEN 0 ELSE 1 END AS label FROM s""")
 def label_vol_barrier(spark, sf):
@@ -210,7 +220,8 @@ def label_vol_barrier(spark, sf):
 
 
 @query("""WITH {D}, l AS (SELECT corridor, day, list_transform(list(price) OVER (PARTITION BY corridor ORDER BY day ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING), lambda x: ln(x)) AS v FROM d),
-e AS (SELECT corridor, day, unnest(v) AS y, unnest(generate_series(0, 9)) AS i FROM l WHERE len(v) = 10), s AS (SELECT corridor, day, regr_slope(y, i) AS b, regr_sxx(y, i) AS sxx, regr_syy(y, i) AS syy FROM e GROUP BY 1, 2)
+e AS (SELECT corridor, day, unnest(v) AS y, unnest(generate_series(0, 9)) AS i FROM l WHERE len(v) = 10),
+s AS (SELECT corridor, day, regr_slope(y, i) AS b, regr_sxx(y, i) AS sxx, regr_syy(y, i) AS syy FROM e GROUP BY 1, 2)
 SELECT corridor, day, round(b / sqrt((syy - b * b * sxx) / 8 / sxx), 4) AS t FROM s""")
 def label_trend_scan(spark, sf):
     return P.daily_panel(spark, sf).select("corridor", "day", r4(L.trend_t(c("price"), DAY(), 10)).alias("t")).where("t is not null")
@@ -222,15 +233,19 @@ def first_improvement(spark, sf):
     return P.daily_panel(spark, sf).select("corridor", "day", L.first_improvement(c("price"), DAY(), 5, 25).alias("step"))
 
 
-@query("""WITH {D} SELECT corridor, day, round(((sum(price) OVER f + sum(price) OVER p) / 10 / price - 1) * 10000, 4) AS benefit_bps FROM d WINDOW f AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), p AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) QUALIFY count(*) OVER f = 5 AND count(*) OVER p = 5""")
+@query("""WITH {D} SELECT corridor, day, round(((sum(price) OVER f + sum(price) OVER p) / 10 / price - 1) * 10000, 4) AS benefit_bps FROM d
+  WINDOW f AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING),
+p AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) QUALIFY count(*) OVER f = 5 AND count(*) OVER p = 5""")
 def symmetric_benefit(spark, sf):
     return P.daily_panel(spark, sf).select("corridor", "day", r4(L.benefit_symmetric(c("price"), DAY(), 5)).alias("benefit_bps")).where("benefit_bps is not null")
 
 
-_POLICY = """WITH RECURSIVE {D}, c AS (SELECT corridor, day, row_number() OVER (PARTITION BY corridor ORDER BY day) AS rn, date_trunc('week', day) AS wk FROM (SELECT *, quantile_cont(price, 0.4) OVER (PARTITION BY corridor) AS q FROM d) WHERE price <= q),
+_POLICY = """WITH RECURSIVE {D}, c AS (SELECT corridor, day, row_number() OVER (PARTITION BY corridor ORDER BY day) AS rn, date_trunc('week', day) AS wk
+  FROM (SELECT *, quantile_cont(price, 0.4) OVER (PARTITION BY corridor) AS q FROM d) WHERE price <= q),
 t AS (SELECT corridor, rn, day, wk, day AS last, wk AS lastwk, 1 AS cnt, true AS kept FROM c WHERE rn = 1
 UNION ALL SELECT c.corridor, c.rn, c.day, c.wk, CASE WHEN k THEN c.day ELSE last END, CASE WHEN k THEN c.wk ELSE lastwk END, CASE WHEN k THEN CASE WHEN c.wk = lastwk THEN cnt + 1 ELSE 1 END ELSE cnt END, k
-FROM (SELECT t.corridor AS tc, t.rn AS trn, t.last, t.lastwk, t.cnt, c.*, (CASE WHEN c.wk = t.lastwk THEN t.cnt ELSE 0 END < %d AND c.day - t.last >= %d) AS k FROM t JOIN c ON c.corridor = t.corridor AND c.rn = t.rn + 1) c)
+FROM (SELECT t.corridor AS tc, t.rn AS trn, t.last, t.lastwk, t.cnt, c.*, (CASE WHEN c.wk = t.lastwk THEN t.cnt ELSE 0 END < %d AND c.day - t.last >= %d) AS k
+  FROM t JOIN c ON c.corridor = t.corridor AND c.rn = t.rn + 1) c)
 SELECT corridor, day FROM t WHERE kept"""
 
 
@@ -253,7 +268,8 @@ def deoverlap(spark, sf):
 @query("""WITH RECURSIVE {H}, c AS (SELECT corridor, hour, row_number() OVER (PARTITION BY corridor ORDER BY hour) AS rn, date_trunc('week', hour) AS wk FROM h WHERE n >= 3),
 t AS (SELECT corridor, rn, hour, wk, hour AS last, wk AS lastwk, 1 AS cnt, true AS kept FROM c WHERE rn = 1
 UNION ALL SELECT c.corridor, c.rn, c.hour, c.wk, CASE WHEN k THEN c.hour ELSE last END, CASE WHEN k THEN c.wk ELSE lastwk END, CASE WHEN k THEN CASE WHEN c.wk = lastwk THEN cnt + 1 ELSE 1 END ELSE cnt END, k
-FROM (SELECT t.last, t.lastwk, t.cnt, c.*, (CASE WHEN c.wk = t.lastwk THEN t.cnt ELSE 0 END < 3 AND c.hour - t.last >= INTERVAL 24 HOUR) AS k FROM t JOIN c ON c.corridor = t.corridor AND c.rn = t.rn + 1) c) SELECT corridor, hour FROM t WHERE kept""")
+FROM (SELECT t.last, t.lastwk, t.cnt, c.*, (CASE WHEN c.wk = t.lastwk THEN t.cnt ELSE 0 END < 3 AND c.hour - t.last >= INTERVAL 24 HOUR) AS k FROM t
+  JOIN c ON c.corridor = t.corridor AND c.rn = t.rn + 1) c) SELECT corridor, hour FROM t WHERE kept""")
 def policy_hourly(spark, sf):
     return Q.cap_and_cooldown(P.hourly_panel(spark, sf).where("n >= 3"), key="corridor", at="hour", cooldown=24, cap=3, unit="hour")
 
@@ -263,10 +279,13 @@ def weekly_first_n(spark, sf):
     return Q.first_per_week(P.daily_panel(spark, sf).where("n >= 2").select("corridor", "day"), key="corridor", at="day", n=2)
 
 
-@query("""WITH RECURSIVE {D}, r AS (SELECT corridor, day, round(ln(price) - lag(ln(price)) OVER w, 9) AS x, row_number() OVER w AS rn FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day)),
+@query("""WITH RECURSIVE {D}, r AS (SELECT corridor, day, round(ln(price) - lag(ln(price)) OVER w, 9) AS x, row_number() OVER w AS rn FROM d
+  WINDOW w AS (PARTITION BY corridor ORDER BY day)),
 s AS (SELECT *, CASE WHEN count(x) OVER w >= 20 THEN round(stddev_samp(x) OVER w, 9) END AS s FROM r WINDOW w AS (PARTITION BY corridor ORDER BY day ROWS 59 PRECEDING)),
 t AS (SELECT corridor, rn, day, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, false AS fired FROM s WHERE rn = 1
-UNION ALL SELECT corridor, rn, day, CASE WHEN f THEN 0 WHEN ok THEN u2 ELSE up END, CASE WHEN f THEN 0 WHEN ok THEN d2 ELSE down END, f FROM (SELECT *, coalesce(ok AND (u2 >= 3.0 * s OR d2 <= -3.0 * s), false) AS f FROM (SELECT s.corridor, s.rn, s.day, s.s, t.up, t.down, coalesce(s.s > 0 AND s.x IS NOT NULL, false) AS ok, greatest(0, t.up + s.x) AS u2, least(0, t.down + s.x) AS d2 FROM t JOIN s ON s.corridor = t.corridor AND s.rn = t.rn + 1)))
+UNION ALL SELECT corridor, rn, day, CASE WHEN f THEN 0 WHEN ok THEN u2 ELSE up END, CASE WHEN f THEN 0 WHEN ok THEN d2 ELSE down END, f
+  FROM (SELECT *, coalesce(ok AND (u2 >= 3.0 * s OR d2 <= -3.0 * s), false) AS f
+  FROM (SELECT s.corridor, s.rn, s.day, s.s, t.up, t.down, coalesce(s.s > 0 AND s.x IS NOT NULL, false) AS ok, greatest(0, t.up + s.x) AS u2, least(0, t.down + s.x) AS d2 FROM t JOIN s ON s.corridor = t.corridor AND s.rn = t.rn + 1)))
 SELECT corridor, day, fired FROM t""")
 def cusum(spark, sf):
     w = DAY()
@@ -276,7 +295,9 @@ def cusum(spark, sf):
 
 
 @query("""WITH {D}, p AS (SELECT corridor, day, price, lag(price) OVER w AS a, avg(price) OVER (PARTITION BY corridor ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS b FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day)),
-l AS (SELECT *, abs(price - a) / price AS la, abs(price - b) / price AS lb FROM p WHERE a IS NOT NULL), s AS (SELECT *, -0.5 * coalesce(sum(la) OVER w, 0) AS ga, -0.5 * coalesce(sum(lb) OVER w, 0) AS gb FROM l WINDOW w AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 5 PRECEDING))
+l AS (SELECT *, abs(price - a) / price AS la, abs(price - b) / price AS lb FROM p WHERE a IS NOT NULL),
+s AS (SELECT *, -0.5 * coalesce(sum(la) OVER w, 0) AS ga, -0.5 * coalesce(sum(lb) OVER w, 0) AS gb FROM l
+  WINDOW w AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 5 PRECEDING))
 SELECT corridor, day, round((a * exp(ga - greatest(ga, gb)) + b * exp(gb - greatest(ga, gb))) / (exp(ga - greatest(ga, gb)) + exp(gb - greatest(ga, gb))), 4) AS blended FROM s""")
 def dynamic_average(spark, sf):
     w = DAY()

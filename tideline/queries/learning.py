@@ -176,3 +176,58 @@ def refit_logistic_signals(spark, sf):
         return _scored(test, score).assign(threshold=edge)[score >= edge]
 
     return _walk(spark, sf, "corridor", fit, schema="corridor string, day date, score double, threshold double")
+
+
+QUANTILES = (0.8, 0.9, 0.95)
+
+
+@query()
+def fold_evaluation(spark, sf):
+    """Each year: a model fitted without the year before picks the score quantile that did best in it, is fitted anew with it and tested; a year in which none beat its days by ten signals is diagnostic."""
+
+    def fit(train, test):
+        train = _known(train)
+        test = test[test["target"].notna()]
+        if train is None or not len(test):
+            return None
+        when = pd.to_datetime(train["day"])
+        last = when.dt.year.max()
+        inner, chosen = train[when.dt.year < last][:-5], train[when.dt.year == last]
+        if len(inner) < 60 or inner["target"].nunique() < 2:
+            return None
+        x, s = N.prepared(inner, chosen, FEATURES)
+        b = M.ridge_logit(x, inner["target"].to_numpy(float))
+        fitted, score, hit = M.logit_score(b, x), M.logit_score(b, s), chosen["target"].to_numpy(float)
+        lift = {q: hit[score >= np.quantile(fitted, q)].mean() / max(hit.mean(), 1e-9) for q in QUANTILES if (score >= np.quantile(fitted, q)).sum() >= 10}
+        best = max(lift, key=lambda q: (lift[q], q)) if lift else QUANTILES[1]
+        x, t = N.prepared(train, test, FEATURES)
+        b = M.ridge_logit(x, train["target"].to_numpy(float))
+        score, hit = M.logit_score(b, t), test["target"].to_numpy(float)
+        signal = score >= np.quantile(M.logit_score(b, x), best)
+        status = "selected" if lift and lift[best] > 1 else "diagnostic"
+        return pd.DataFrame({"corridor": test["corridor"].iloc[0], "year": [int(str(test["day"].iloc[0])[:4])], "quantile": best, "status": status, "days": len(test), "signals": int(signal.sum()), "hits": int(hit[signal].sum()), "base_rate": hit.mean()})
+
+    return _walk(spark, sf, "corridor", fit, schema="corridor string, year int, quantile double, status string, days int, signals int, hits int, base_rate double")
+
+
+SETS = {"base": FEATURES, "with_volatility": [*FEATURES, "vol"], "without_rank": FEATURES[:-1]}
+
+
+@query()
+def feature_set_ablation(spark, sf):
+    """The same fit and test for several sets of features, a row per set, corridor and year: Brier score and the hit rate of the best tenth of days."""
+
+    def fit(train, test):
+        train = _known(train)
+        test = test[test["target"].notna()]
+        if train is None or len(test) < 10:
+            return None
+        rows, hit = [], test["target"].to_numpy(float)
+        for name, features in SETS.items():
+            x, t = N.prepared(train, test, features)
+            score = M.logit_score(M.ridge_logit(x, train["target"].to_numpy(float)), t)
+            top = np.argsort(-score, kind="stable")[: max(1, len(test) // 10)]
+            rows.append((test["corridor"].iloc[0], int(str(test["day"].iloc[0])[:4]), name, len(test), float(((score - hit) ** 2).mean()), float(hit[top].mean()), float(hit.mean())))
+        return pd.DataFrame(rows, columns=["corridor", "year", "variant", "days", "brier", "top_hit_rate", "base_rate"])
+
+    return _walk(spark, sf, "corridor", fit, schema="corridor string, year int, variant string, days int, brier double, top_hit_rate double, base_rate double")

@@ -128,7 +128,8 @@ def stream_hourly_news(spark, sf):
     return out.unionByName(untimed.select("corridor", F.lit(None).cast("timestamp_ntz").alias("hour"), "articles"))
 
 
-@query("""WITH {D}, k AS (SELECT corridor, day, price, min(price) OVER f AS best_ahead, count(*) OVER f AS n FROM d WINDOW f AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) SELECT corridor, day, price, best_ahead FROM k WHERE n = 5""")
+@query("""WITH {D}, k AS (SELECT corridor, day, price, min(price) OVER f AS best_ahead, count(*) OVER f AS n FROM d
+  WINDOW f AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) SELECT corridor, day, price, best_ahead FROM k WHERE n = 5""")
 def stream_delayed_labels(spark, sf):
     """Labels that are known five prices later, given out by a stream that keeps the open ones as state across batches; equal to the batch label."""
     root = scratch(spark, "stream")
@@ -139,13 +140,15 @@ def stream_delayed_labels(spark, sf):
     return out.select("corridor", c("at").cast("date").alias("day"), "price", "best_ahead")
 
 
-@query("""WITH n AS (SELECT event_type AS corridor, date_trunc('hour', ts) AS hour, count(DISTINCT user_id) AS articles FROM events WHERE ts IS NOT NULL AND hour(ts) % 6 <> 0 GROUP BY 1, 2),
-g AS (SELECT corridor, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS hour FROM (SELECT DISTINCT corridor FROM n), (SELECT min(hour) AS lo, max(hour) AS hi FROM n)), s AS (SELECT DISTINCT hour FROM n)
+@query("""WITH n AS (SELECT event_type AS corridor, date_trunc('hour', ts) AS hour, count(DISTINCT user_id) AS articles FROM events
+  WHERE ts IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT corridor, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS hour FROM (SELECT DISTINCT corridor FROM n), (SELECT min(hour) AS lo, max(hour) AS hi FROM n)),
+s AS (SELECT DISTINCT hour FROM n)
 SELECT g.corridor, g.hour, CASE WHEN s.hour IS NOT NULL THEN coalesce(articles, 0) END AS articles FROM g LEFT JOIN s USING (hour) LEFT JOIN n USING (corridor, hour)""")
 def stream_missing_or_zero(spark, sf):
-    """Hourly counts of a stream, where an hour in which no corridor had anything is an outage and unknown, and one in which another had something is zero. Every sixth hour is withheld."""
+    """Hourly counts of a stream, where an hour in which no corridor had anything is an outage and unknown, and one in which another had something is zero."""
     root = scratch(spark, "stream")
-    events = P.table(spark, sf, "events").select("event_type", "ts", "user_id").where(c("ts").isNotNull() & (F.hour(c("ts").cast("timestamp")) % 6 != 0))
+    events = P.table(spark, sf, "events").select("event_type", "ts", "user_id").where("ts is not null")
     end = events.agg(F.max("ts").alias("ts")).where("ts is not null").select((c("ts") + F.expr("interval 1 day")).alias("ts"))
     flows.write_in_order(events.unionByName(end, allowMissingColumns=True), f"{root}/in", "ts", FILES)
     n = flows.run_to_parquet(flows.hourly_distinct(flows.file_stream(spark, f"{root}/in", events.schema)), root).where("corridor is not null").select("corridor", c("hour").cast("timestamp_ntz").alias("hour"), "articles")
@@ -162,7 +165,8 @@ g AS (SELECT corridor, day, wk, CASE WHEN rank <= 0.2 THEN 'strong' WHEN seen =
 q AS (SELECT *, row_number() OVER (PARTITION BY corridor ORDER BY day) AS rn FROM g WHERE lane IS NOT NULL),
 t AS (SELECT corridor, rn, day, lane, day AS last, wk AS lastwk, 1 AS cnt, true AS kept FROM q WHERE rn = 1
 UNION ALL SELECT x.corridor, x.rn, x.day, x.lane, CASE WHEN k THEN x.day ELSE last END, CASE WHEN k THEN x.wk ELSE lastwk END, CASE WHEN k THEN CASE WHEN x.wk = lastwk THEN cnt + 1 ELSE 1 END ELSE cnt END, k
-FROM (SELECT t.last, t.lastwk, t.cnt, q.*, (CASE WHEN q.wk = t.lastwk THEN t.cnt ELSE 0 END < 2 AND q.day - t.last >= 3) AS k FROM t JOIN q ON q.corridor = t.corridor AND q.rn = t.rn + 1) x)
+FROM (SELECT t.last, t.lastwk, t.cnt, q.*, (CASE WHEN q.wk = t.lastwk THEN t.cnt ELSE 0 END < 2 AND q.day - t.last >= 3) AS k FROM t
+  JOIN q ON q.corridor = t.corridor AND q.rn = t.rn + 1) x)
 SELECT corridor, day, lane FROM t WHERE kept"""
 
 
@@ -179,8 +183,10 @@ def dual_lane(spark, sf):
     return Q.cap_and_cooldown(t, key="corridor", at="day", cooldown=3, cap=2).join(t.select("corridor", "day", "lane"), ["corridor", "day"])
 
 
-@query("""WITH {D}, l AS (SELECT corridor, day, price, list(price) OVER (PARTITION BY corridor ORDER BY day ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS v FROM d), r AS (SELECT corridor, day, CASE WHEN len(v) >= 20 THEN len(list_filter(v, lambda x: x <= price)) / len(v) END AS rank FROM l)
-SELECT a.corridor, a.day, round(a.rank, 6) AS own, round(0.5 * a.rank + 0.5 * avg(b.rank), 6) AS blended FROM r a JOIN r b ON a.day = b.day AND a.corridor <> b.corridor WHERE a.rank IS NOT NULL AND b.rank IS NOT NULL GROUP BY a.corridor, a.day, a.rank""")
+@query("""WITH {D}, l AS (SELECT corridor, day, price, list(price) OVER (PARTITION BY corridor ORDER BY day ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS v FROM d),
+r AS (SELECT corridor, day, CASE WHEN len(v) >= 20 THEN len(list_filter(v, lambda x: x <= price)) / len(v) END AS rank FROM l)
+SELECT a.corridor, a.day, round(a.rank, 6) AS own, round(0.5 * a.rank + 0.5 * avg(b.rank), 6) AS blended FROM r a
+  JOIN r b ON a.day = b.day AND a.corridor <> b.corridor WHERE a.rank IS NOT NULL AND b.rank IS NOT NULL GROUP BY a.corridor, a.day, a.rank""")
 def consensus_scores(spark, sf):
     """A corridor's causal rank blended half and half with the mean rank of the others on the day."""
     p = P.daily_panel(spark, sf)

@@ -27,12 +27,15 @@ def _fired(spark, sf, name, **q):
 _CLAMP = "round(greatest(0, least(1, %s)), 4) AS strength"
 
 
-@query("""WITH {D}, l AS (SELECT corridor, day, price, list(price) OVER (PARTITION BY corridor ORDER BY day ROWS 59 PRECEDING) AS v FROM d), r AS (SELECT *, len(list_filter(v, lambda x: x <= price)) * 100.0 / 60 AS k FROM l WHERE len(v) = 60) SELECT corridor, day, """ + _CLAMP % "(20 - k) / 20" + " FROM r WHERE k <= 20")
+@query("""WITH {D}, l AS (SELECT corridor, day, price, list(price) OVER (PARTITION BY corridor ORDER BY day ROWS 59 PRECEDING) AS v FROM d),
+r AS (SELECT *, len(list_filter(v, lambda x: x <= price)) * 100.0 / 60 AS k FROM l WHERE len(v) = 60) SELECT corridor, day, """ + _CLAMP % "(20 - k) / 20" + " FROM r WHERE k <= 20")
 def ind_level(spark, sf):
     return _fired(spark, sf, "level_percentile", window=60, pct=20)
 
 
-@query("""WITH {D}, s AS (SELECT *, lag(price, 3) OVER w AS b, (price < lag(price) OVER w)::INT AS down, CASE WHEN count(*) OVER v >= 20 THEN stddev_samp(price) OVER v END / price AS s FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day), v AS (PARTITION BY corridor ORDER BY day ROWS 19 PRECEDING)), t AS (SELECT *, sum(down) OVER (PARTITION BY corridor ORDER BY day ROWS 2 PRECEDING) AS k FROM s)
+@query("""WITH {D}, s AS (SELECT *, lag(price, 3) OVER w AS b, (price < lag(price) OVER w)::INT AS down, CASE WHEN count(*) OVER v >= 20 THEN stddev_samp(price) OVER v END / price AS s FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day),
+v AS (PARTITION BY corridor ORDER BY day ROWS 19 PRECEDING)),
+t AS (SELECT *, sum(down) OVER (PARTITION BY corridor ORDER BY day ROWS 2 PRECEDING) AS k FROM s)
 SELECT corridor, day, CASE WHEN s > 0 THEN round(greatest(0, least(1, (b - price) / b / 3 / s)), 4) ELSE 0 END AS strength FROM t WHERE k = 3""")
 def ind_streak(spark, sf):
     return _fired(spark, sf, "momentum_streak", n=3)
@@ -43,20 +46,25 @@ def ind_filter(spark, sf):
     return _fired(spark, sf, "filter_rule", x=20.0)
 
 
-@query("""WITH {D}, r AS (SELECT corridor, day, price, min(price) OVER v AS low, stddev_samp(price) OVER v / min(price) OVER v AS s, count(*) OVER v AS n FROM d WINDOW v AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+@query("""WITH {D}, r AS (SELECT corridor, day, price, min(price) OVER v AS low, stddev_samp(price) OVER v / min(price) OVER v AS s, count(*) OVER v AS n FROM d
+  WINDOW v AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
 SELECT corridor, day, round(greatest(0, least(1, (price / low - 1) / (2 * 3.0 * s))), 4) AS strength FROM r WHERE n = 20 AND price / low - 1 >= 3.0 * s""")
 def ind_reversal(spark, sf):
     return _fired(spark, sf, "reversal_from_low", lookback=20, bounce=3.0)
 
 
-@query("""WITH {D}, s AS (SELECT corridor, day, CASE WHEN count(*) OVER v = 20 THEN stddev_samp(price) OVER v / avg(price) OVER v END AS s, CASE WHEN count(*) OVER b = 20 THEN stddev_samp(price) OVER b / avg(price) OVER b END AS p FROM d WINDOW v AS (PARTITION BY corridor ORDER BY day ROWS 19 PRECEDING), b AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 39 PRECEDING AND 20 PRECEDING))
+@query("""WITH {D}, s AS (SELECT corridor, day, CASE WHEN count(*) OVER v = 20 THEN stddev_samp(price) OVER v / avg(price) OVER v END AS s, CASE WHEN count(*) OVER b = 20 THEN stddev_samp(price) OVER b / avg(price) OVER b END AS p FROM d WINDOW v AS (PARTITION BY corridor ORDER BY day ROWS 19 PRECEDING),
+b AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 39 PRECEDING AND 20 PRECEDING))
 SELECT corridor, day, round(greatest(0, least(1, s / (2 * p))), 4) AS strength FROM s WHERE s / nullif(p, 0) > 1.25""")
 def ind_volregime(spark, sf):
     return _fired(spark, sf, "volatility_regime", window=20, regime="high")
 
 
-@query("""WITH {D}, r AS (SELECT corridor, day, price / lag(price) OVER (PARTITION BY corridor ORDER BY day) - 1 AS r FROM d), s AS (SELECT corridor, day, count(r) OVER w AS n, avg(r) OVER w AS m, stddev_samp(r) OVER w AS s FROM r WINDOW w AS (PARTITION BY corridor, month(day) ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT corridor, day, CASE WHEN m > 0 THEN 'up' ELSE 'down' END AS direction, round(abs(m) / s, 5) AS signal_to_noise FROM s WHERE n >= 20 AND s > 0 AND abs(m) / s >= 0.25""")
+@query("""WITH {D}, r AS (SELECT corridor, day, price / lag(price) OVER (PARTITION BY corridor ORDER BY day) - 1 AS r FROM d),
+s AS (SELECT corridor, day, count(r) OVER w AS n, avg(r) OVER w AS m, stddev_samp(r) OVER w AS s FROM r
+  WINDOW w AS (PARTITION BY corridor, month(day) ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT corridor, day, CASE WHEN m > 0 THEN 'up' ELSE 'down' END AS direction, round(abs(m) / s, 5) AS signal_to_noise FROM s
+  WHERE n >= 20 AND s > 0 AND abs(m) / s >= 0.25""")
 def ind_seasonality(spark, sf):
     d = P.daily_panel(spark, sf).withColumn("r", X.change(c("price"), DAY()))
     w = Window.partitionBy("corridor", F.month("day")).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
@@ -69,7 +77,10 @@ GRID = {"filter_rule": {"x": [10.0, 20.0, 30.0]}, "level_percentile": {"window":
 
 @query("""WITH {D}, r AS (SELECT corridor, day, (price / lag(price) OVER w - 1) * 100 AS r, (price < lag(price) OVER w)::INT AS down, list(price) OVER (PARTITION BY corridor ORDER BY day ROWS 29 PRECEDING) AS a, list(price) OVER (PARTITION BY corridor ORDER BY day ROWS 59 PRECEDING) AS b, price FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day)),
 k AS (SELECT *, CASE WHEN len(a) = 30 THEN len(list_filter(a, lambda x: x <= price)) * 100.0 / 30 END AS k30, CASE WHEN len(b) = 60 THEN len(list_filter(b, lambda x: x <= price)) * 100.0 / 60 END AS k60, sum(down) OVER (PARTITION BY corridor ORDER BY day ROWS 1 PRECEDING) AS d2, sum(down) OVER (PARTITION BY corridor ORDER BY day ROWS 2 PRECEDING) AS d3 FROM r),
-f AS (SELECT 'filter_rule' AS indicator, '{"x":' || x || '}' AS params FROM k, (VALUES (10.0), (20.0), (30.0)) t(x) WHERE r <= -x UNION ALL SELECT 'level_percentile', '{"pct":' || p || ',"window":' || w || '}' FROM k, (VALUES (5), (10), (20)) t(p), (VALUES (30), (60)) u(w) WHERE CASE w WHEN 30 THEN k30 ELSE k60 END <= p UNION ALL SELECT 'momentum_streak', '{"n":' || n || '}' FROM k, (VALUES (2), (3)) t(n) WHERE CASE n WHEN 2 THEN d2 ELSE d3 END = n)
+f AS (SELECT 'filter_rule' AS indicator, '{"x":' || x || '}' AS params FROM k, (VALUES (10.0), (20.0), (30.0)) t(x) WHERE r <= -x
+UNION ALL SELECT 'level_percentile', '{"pct":' || p || ',"window":' || w || '}' FROM k, (VALUES (5), (10), (20)) t(p), (VALUES (30), (60)) u(w)
+  WHERE CASE w WHEN 30 THEN k30 ELSE k60 END <= p
+UNION ALL SELECT 'momentum_streak', '{"n":' || n || '}' FROM k, (VALUES (2), (3)) t(n) WHERE CASE n WHEN 2 THEN d2 ELSE d3 END = n)
 SELECT indicator, params, count(*) AS firings FROM f GROUP BY 1, 2""")
 def signal_grid(spark, sf):
     """Firings of every combination of a parameter grid, evaluated in one pass."""
@@ -77,14 +88,18 @@ def signal_grid(spark, sf):
     return s.groupBy("indicator", "params").agg(F.count("*").alias("firings"))
 
 
-@query("""WITH {D}, r AS (SELECT corridor, day, (price / lag(price) OVER (PARTITION BY corridor ORDER BY day) - 1) * 100 AS r FROM d), l AS (SELECT corridor, max(day) AS day FROM d WHERE day <= DATE '1999-03-31' GROUP BY 1) SELECT corridor, day, 'filter_rule' AS indicator, round(greatest(0, least(1, -r / 2)), 4) AS strength FROM r JOIN l USING (corridor, day) WHERE r <= -1""")
+@query("""WITH {D}, r AS (SELECT corridor, day, (price / lag(price) OVER (PARTITION BY corridor ORDER BY day) - 1) * 100 AS r FROM d),
+l AS (SELECT corridor, max(day) AS day FROM d WHERE day <= DATE '1999-03-31'
+  GROUP BY 1) SELECT corridor, day, 'filter_rule' AS indicator, round(greatest(0, least(1, -r / 2)), 4) AS strength FROM r JOIN l USING (corridor, day) WHERE r <= -1""")
 def signals_as_of(spark, sf):
     d = P.daily_panel(spark, sf)
     s = I.signals(d, [("filter_rule", {"x": 1.0})], key="corridor", at="day", price="price")
     return I.latest(s, d, key="corridor", at="day", cut=F.lit("1999-03-31").cast("date")).select("corridor", "day", "indicator", r4("strength").alias("strength"))
 
 
-@query("""WITH {D}, b AS (SELECT a.corridor, a.day, a.price, min(CASE WHEN b.price <= a.price * 0.98 THEN b.day END) AS hit, max(b.day) AS last FROM d a JOIN d b ON a.corridor = b.corridor AND b.day > a.day AND b.day <= a.day + 14 JOIN (SELECT corridor, max(day) AS e FROM d GROUP BY 1) m ON a.corridor = m.corridor AND a.day + 14 <= m.e GROUP BY 1, 2, 3)
+@query("""WITH {D}, b AS (SELECT a.corridor, a.day, a.price, min(CASE WHEN b.price <= a.price * 0.98 THEN b.day END) AS hit, max(b.day) AS last FROM d a
+  JOIN d b ON a.corridor = b.corridor AND b.day > a.day AND b.day <= a.day + 14 JOIN (SELECT corridor, max(day) AS e FROM d
+  GROUP BY 1) m ON a.corridor = m.corridor AND a.day + 14 <= m.e GROUP BY 1, 2, 3)
 SELECT corridor, day, coalesce(hit, last) AS executed, coalesce(hit, last) - day AS waited, hit IS NOT NULL AS reached FROM b""")
 def target_orders(spark, sf):
     """A limit two per cent under each day's price, executed at the first price that reaches it within fourteen days, else at the last."""
@@ -96,9 +111,12 @@ def target_orders(spark, sf):
     return d.select("corridor", "day", F.coalesce(hit, last).alias("executed"), F.date_diff(F.coalesce(hit, last), "day").alias("waited"), hit.isNotNull().alias("reached"))
 
 
-@query("""WITH {D}, t AS (SELECT *, (rn // 10) AS block, rn % 10 AS step FROM (SELECT *, row_number() OVER (PARTITION BY corridor ORDER BY day) - 1 AS rn FROM d)), q AS (SELECT corridor, block, count(*) AS n, min_by(price, step) AS buy_first, min(price) AS oracle, round(avg(price), 4) AS random FROM t GROUP BY 1, 2),
-s AS (SELECT t.corridor, t.block, coalesce(min(CASE WHEN t.price <= m.m THEN step END), 9) AS stop FROM t JOIN (SELECT corridor, block, median(price) AS m FROM t GROUP BY 1, 2) m USING (corridor, block) GROUP BY 1, 2)
-SELECT q.corridor, q.block, buy_first, oracle, random, t.price AS static FROM q JOIN s USING (corridor, block) JOIN t ON t.corridor = q.corridor AND t.block = q.block AND t.step = s.stop WHERE q.n = 10""")
+@query("""WITH {D}, t AS (SELECT *, (rn // 10) AS block, rn % 10 AS step FROM (SELECT *, row_number() OVER (PARTITION BY corridor ORDER BY day) - 1 AS rn FROM d)),
+q AS (SELECT corridor, block, count(*) AS n, min_by(price, step) AS buy_first, min(price) AS oracle, round(avg(price), 4) AS random FROM t GROUP BY 1, 2),
+s AS (SELECT t.corridor, t.block, coalesce(min(CASE WHEN t.price <= m.m THEN step END), 9) AS stop FROM t JOIN (SELECT corridor, block, median(price) AS m
+  FROM t GROUP BY 1, 2) m USING (corridor, block) GROUP BY 1, 2)
+SELECT q.corridor, q.block, buy_first, oracle, random, t.price AS static FROM q JOIN s USING (corridor, block)
+  JOIN t ON t.corridor = q.corridor AND t.block = q.block AND t.step = s.stop WHERE q.n = 10""")
 def optimal_stopping(spark, sf):
     """Blocks of ten rows: buying first, the best, the mean, and the first price at or under the block's median."""
     t = I.tumbling(P.daily_panel(spark, sf), key="corridor", at="day", size=10)
@@ -106,8 +124,11 @@ def optimal_stopping(spark, sf):
     return q.select("corridor", "block", "buy_first", "oracle", "random", F.get(F.filter("v", lambda x: x["price"] <= c("m")), F.lit(0))["price"].alias("static"))
 
 
-@query("""WITH {D}, s AS (SELECT *, row_number() OVER w AS pos, (price < lag(price) OVER w)::INT AS down, price <= min(price) OVER (PARTITION BY corridor ORDER BY day ROWS 19 PRECEDING) AS slow FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day)), t AS (SELECT *, sum(down) OVER (PARTITION BY corridor ORDER BY day ROWS 1 PRECEDING) = 2 AS fast FROM s), u AS (SELECT *, fast AND NOT coalesce(lag(fast) OVER (PARTITION BY corridor ORDER BY day), false) AS onset, min(CASE WHEN slow THEN pos END) OVER (PARTITION BY corridor ORDER BY day ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS reached FROM t)
-SELECT u.corridor, u.day, u.reached - u.pos AS waited, round((v.price / u.price - 1) * 10000, 4) AS waiting_bps FROM u LEFT JOIN s v ON v.corridor = u.corridor AND v.pos = u.reached WHERE onset""")
+@query("""WITH {D}, s AS (SELECT *, row_number() OVER w AS pos, (price < lag(price) OVER w)::INT AS down, price <= min(price) OVER (PARTITION BY corridor ORDER BY day ROWS 19 PRECEDING) AS slow FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day)),
+t AS (SELECT *, sum(down) OVER (PARTITION BY corridor ORDER BY day ROWS 1 PRECEDING) = 2 AS fast FROM s),
+u AS (SELECT *, fast AND NOT coalesce(lag(fast) OVER (PARTITION BY corridor ORDER BY day), false) AS onset, min(CASE WHEN slow THEN pos END) OVER (PARTITION BY corridor ORDER BY day ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS reached FROM t)
+SELECT u.corridor, u.day, u.reached - u.pos AS waited, round((v.price / u.price - 1) * 10000, 4) AS waiting_bps FROM u
+  LEFT JOIN s v ON v.corridor = u.corridor AND v.pos = u.reached WHERE onset""")
 def fast_slow_pairs(spark, sf):
     """Each onset of two falls in a row with the first twenty-day low of the next five rows."""
     w = DAY()
@@ -127,8 +148,12 @@ def fan_out(spark, sf):
     return x.groupBy("corridor", "day").agg(F.sum("n").alias("events"), F.sum(F.when(c("event_type") == c("corridor"), c("n")).otherwise(0)).alias("own"))
 
 
-@query("""WITH s AS (SELECT DISTINCT secid, dt_msk, close FROM moex_candles WHERE close > 0), x AS (SELECT s.*, asset_class, CAST(dt_msk AS DATE) AS day FROM s JOIN moex_universe USING (secid)), l AS (SELECT secid, asset_class, day, max_by(close, dt_msk) AS close FROM x GROUP BY ALL), r AS (SELECT *, round(close / lag(close) OVER (PARTITION BY secid ORDER BY day) - 1, 9) AS r FROM l)
-SELECT asset_class, day, count(r) AS members, round(median(r), 6) AS median_return, round(avg((r > 0)::INT), 6) AS positive_share FROM r WHERE r IS NOT NULL GROUP BY 1, 2""")
+@query("""WITH s AS (SELECT DISTINCT secid, dt_msk, close FROM moex_candles WHERE close > 0),
+x AS (SELECT s.*, asset_class, CAST(dt_msk AS DATE) AS day FROM s JOIN moex_universe USING (secid)),
+l AS (SELECT secid, asset_class, day, max_by(close, dt_msk) AS close FROM x GROUP BY ALL),
+r AS (SELECT *, round(close / lag(close) OVER (PARTITION BY secid ORDER BY day) - 1, 9) AS r FROM l)
+SELECT asset_class, day, count(r) AS members, round(median(r), 6) AS median_return, round(avg((r > 0)::INT), 6) AS positive_share FROM r
+  WHERE r IS NOT NULL GROUP BY 1, 2""")
 def block_medians(spark, sf):
     """Median return and share of rises of each asset class and day, from the last candle of the day."""
     s = P.table(spark, sf, "moex_candles").where("close > 0").groupBy("secid", F.to_date("dt_msk").alias("day")).agg(F.max_by("close", F.struct("dt_msk", "close")).alias("close"))
@@ -137,8 +162,11 @@ def block_medians(spark, sf):
     return r.groupBy("asset_class", "day").agg(F.count("r").alias("members"), r6(F.percentile("r", F.lit(0.5))).alias("median_return"), r6(F.avg((c("r") > 0).cast("int"))).alias("positive_share"))
 
 
-@query("""WITH s AS (SELECT DISTINCT secid, dt_msk, volume_rub FROM moex_candles), v AS (SELECT secid, CAST(dt_msk AS DATE) AS day, CASE WHEN sum(volume_rub) > 0 THEN round(ln(1 + sum(volume_rub)), 9) END AS v FROM s WHERE volume_rub IS NULL OR NOT isnan(volume_rub) GROUP BY 1, 2)
-SELECT secid, day, round(lag(v) OVER w, 6) AS log_volume, round(lag(v) OVER w - lag(v, 2) OVER w, 6) AS change1, lag(v IS NULL) OVER w AS inactive FROM v WINDOW w AS (PARTITION BY secid ORDER BY day)""")
+@query("""WITH s AS (SELECT DISTINCT secid, dt_msk, volume_rub FROM moex_candles),
+v AS (SELECT secid, CAST(dt_msk AS DATE) AS day, CASE WHEN sum(volume_rub) > 0 THEN round(ln(1 + sum(volume_rub)), 9) END AS v FROM s
+  WHERE volume_rub IS NULL OR NOT isnan(volume_rub) GROUP BY 1, 2)
+SELECT secid, day, round(lag(v) OVER w, 6) AS log_volume, round(lag(v) OVER w - lag(v, 2) OVER w, 6) AS change1, lag(v IS NULL) OVER w AS inactive FROM v
+  WINDOW w AS (PARTITION BY secid ORDER BY day)""")
 def liquidity_block(spark, sf):
     """Log turnover of the day before and its change; days without turnover are missing, not zero."""
     s = P.table(spark, sf, "moex_candles").where("volume_rub is null or not isnan(volume_rub)").select("secid", "dt_msk", "volume_rub").distinct()
@@ -147,8 +175,12 @@ def liquidity_block(spark, sf):
     return v.select("secid", "day", r6(F.lag("v").over(w)).alias("log_volume"), r6(F.lag("v").over(w) - F.lag("v", 2).over(w)).alias("change1"), F.lag(c("v").isNull()).over(w).alias("inactive"))
 
 
-@query("""WITH s AS (SELECT DISTINCT secid, dt_msk, close, volume_rub FROM moex_candles WHERE close > 0 AND volume_rub > 0 AND NOT isnan(volume_rub)), u AS (SELECT secid, asset_class, CAST(dt_msk AS DATE) AS day, round(sum(volume_rub), 2) AS vol, max_by(close, dt_msk) AS close FROM s JOIN moex_universe USING (secid) GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY asset_class, day ORDER BY vol DESC, secid) AS rk FROM u)
-SELECT a.asset_class, a.day, a.secid AS near, b.secid AS far, round(b.close / a.close - 1, 6) AS slope FROM n a LEFT JOIN n b ON a.asset_class = b.asset_class AND a.day = b.day AND b.rk = 2 WHERE a.rk = 1""")
+@query("""WITH s AS (SELECT DISTINCT secid, dt_msk, close, volume_rub FROM moex_candles WHERE close > 0 AND volume_rub > 0 AND NOT isnan(volume_rub)),
+u AS (SELECT secid, asset_class, CAST(dt_msk AS DATE) AS day, round(sum(volume_rub), 2) AS vol, max_by(close, dt_msk) AS close FROM s
+  JOIN moex_universe USING (secid) GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY asset_class, day ORDER BY vol DESC, secid) AS rk FROM u)
+SELECT a.asset_class, a.day, a.secid AS near, b.secid AS far, round(b.close / a.close - 1, 6) AS slope FROM n a
+  LEFT JOIN n b ON a.asset_class = b.asset_class AND a.day = b.day AND b.rk = 2 WHERE a.rk = 1""")
 def near_far_pair(spark, sf):
     """The most and second most traded instrument of each class and day and the step between them."""
     s = P.table(spark, sf, "moex_candles").where("close > 0 and volume_rub > 0 and not isnan(volume_rub)").select("secid", "dt_msk", "close", "volume_rub").distinct()
@@ -160,15 +192,20 @@ def near_far_pair(spark, sf):
     return g.select("asset_class", "day", c("a.secid").alias("near"), c("b.secid").alias("far"), r6(c("b.close") / c("a.close") - 1).alias("slope"))
 
 
-@query("""WITH {D}, r AS (SELECT corridor, day, price / lag(price) OVER (PARTITION BY corridor ORDER BY day) - 1 AS r FROM d), v AS (SELECT corridor, day, r * r AS actual, avg(r * r) OVER (PARTITION BY corridor ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS forecast FROM r WHERE r <> 0)
-SELECT corridor, count(*) AS n, round(avg((forecast - actual) ** 2), 6) AS mse, round(avg(actual / forecast + ln(forecast)), 5) AS qlike FROM v WHERE forecast > 0 GROUP BY 1""")
+@query("""WITH {D}, r AS (SELECT corridor, day, price / lag(price) OVER (PARTITION BY corridor ORDER BY day) - 1 AS r FROM d),
+v AS (SELECT corridor, day, r * r AS actual, avg(r * r) OVER (PARTITION BY corridor ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS forecast FROM r
+  WHERE r <> 0)
+SELECT corridor, count(*) AS n, round(avg((forecast - actual) ** 2), 6) AS mse, round(avg(actual / forecast + ln(forecast)), 5) AS qlike FROM v
+  WHERE forecast > 0 GROUP BY 1""")
 def forecast_loss(spark, sf):
     w = DAY()
     r = P.daily_panel(spark, sf).withColumn("r", X.change(c("price"), w)).where("r <> 0").withColumn("actual", c("r") * c("r")).withColumn("forecast", F.avg("actual").over(X.trailing(w, 20, 1))).where("forecast > 0")
     return r.groupBy("corridor").agg(F.count("*").alias("n"), r6(F.avg(F.pow(c("forecast") - c("actual"), F.lit(2.0)))).alias("mse"), F.round(F.avg(c("actual") / c("forecast") + F.log("forecast")), 5).alias("qlike"))
 
 
-@query("""WITH {D}, f AS (SELECT corridor, day, (price - min(price) OVER w) / price * 10000 AS r FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) QUALIFY count(*) OVER w = 5), t AS (SELECT corridor, (VALUES_.t) AS tolerance, greatest(0, r) <= VALUES_.t AS hit FROM f, (VALUES (0), (10), (25), (50), (100)) VALUES_(t))
+@query("""WITH {D}, f AS (SELECT corridor, day, (price - min(price) OVER w) / price * 10000 AS r FROM d
+  WINDOW w AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) QUALIFY count(*) OVER w = 5),
+t AS (SELECT corridor, (VALUES_.t) AS tolerance, greatest(0, r) <= VALUES_.t AS hit FROM f, (VALUES (0), (10), (25), (50), (100)) VALUES_(t))
 SELECT corridor, tolerance, round(avg(hit::INT), 6) AS base_rate, count(*) AS n FROM t GROUP BY 1, 2""")
 def tolerance_sweep(spark, sf):
     d = P.daily_panel(spark, sf).select("corridor", L.regret_paid(c("price"), DAY(), 5).alias("r")).where("r is not null")
@@ -176,14 +213,19 @@ def tolerance_sweep(spark, sf):
     return wide.unpivot(["corridor", "n"], ["0", "10", "25", "50", "100"], "tolerance", "base_rate").select("corridor", c("tolerance").cast("int").alias("tolerance"), r6("base_rate").alias("base_rate"), "n")
 
 
-@query("""WITH {D}, f AS (SELECT corridor, day, (price / min(price) OVER w - 1) * 10000 AS r FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) QUALIFY count(*) OVER w = 5) SELECT corridor, CASE WHEN r <= 25 THEN 0 WHEN r <= 500 THEN 1 WHEN r <= 5000 THEN 2 ELSE 3 END AS class, count(*) AS n FROM f GROUP BY 1, 2""")
+@query("""WITH {D}, f AS (SELECT corridor, day, (price / min(price) OVER w - 1) * 10000 AS r FROM d
+  WINDOW w AS (PARTITION BY corridor ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)
+  QUALIFY count(*) OVER w = 5) SELECT corridor, CASE WHEN r <= 25 THEN 0 WHEN r <= 500 THEN 1 WHEN r <= 5000 THEN 2 ELSE 3 END AS class, count(*) AS n
+  FROM f GROUP BY 1, 2""")
 def regret_classes(spark, sf):
     r = c("r")
     d = P.daily_panel(spark, sf).select("corridor", L.regret_best(c("price"), DAY(), 5).alias("r")).where("r is not null")
     return d.groupBy("corridor", F.when(r <= 25, 0).when(r <= 500, 1).when(r <= 5000, 2).otherwise(3).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH {D}, r AS (SELECT corridor, day, (price / lag(price) OVER w - 1) AS r1, (price / lag(price, 3) OVER w - 1) AS r3, (price / lag(price, 5) OVER w - 1) AS r5 FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day)), u AS (UNPIVOT r ON r1, r3, r5 INTO NAME factor VALUE v), q AS (SELECT *, CASE WHEN count(v) OVER w >= 60 THEN quantile_cont(v, 0.1) OVER w END AS lo, CASE WHEN count(v) OVER w >= 60 THEN quantile_cont(v, 0.9) OVER w END AS hi FROM u WINDOW w AS (PARTITION BY corridor, factor ORDER BY day ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
+@query("""WITH {D}, r AS (SELECT corridor, day, (price / lag(price) OVER w - 1) AS r1, (price / lag(price, 3) OVER w - 1) AS r3, (price / lag(price, 5) OVER w - 1) AS r5 FROM d WINDOW w AS (PARTITION BY corridor ORDER BY day)),
+u AS (UNPIVOT r ON r1, r3, r5 INTO NAME factor VALUE v),
+q AS (SELECT *, CASE WHEN count(v) OVER w >= 60 THEN quantile_cont(v, 0.1) OVER w END AS lo, CASE WHEN count(v) OVER w >= 60 THEN quantile_cont(v, 0.9) OVER w END AS hi FROM u WINDOW w AS (PARTITION BY corridor, factor ORDER BY day ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
 SELECT corridor, factor, sum((v <= lo)::INT)::BIGINT AS low_tail, sum((v >= hi)::INT)::BIGINT AS high_tail FROM q WHERE lo IS NOT NULL GROUP BY 1, 2""")
 def rule_library(spark, sf):
     """Factors by tails: how often each return lies beyond the tenth or ninetieth percentile of its last sixty."""
@@ -195,7 +237,9 @@ def rule_library(spark, sf):
     return q.groupBy("corridor", "factor").agg(F.count_if(c("v") <= c("lo")).alias("low_tail"), F.count_if(c("v") >= c("hi")).alias("high_tail"))
 
 
-@query("""WITH {H}, k AS (SELECT corridor, isodow(hour) AS wd, hour(hour) AS hr, avg(price) AS m, count(*) AS n FROM h GROUP BY 1, 2, 3), q AS (SELECT corridor, quantile_cont(m, 0.9) AS q FROM k WHERE n >= 2 GROUP BY 1) SELECT corridor, wd AS weekday, hr AS hour, round(m, 7) AS mean, n FROM k JOIN q USING (corridor) WHERE n >= 2 AND round(m, 7) >= round(q, 7)""")
+@query("""WITH {H}, k AS (SELECT corridor, isodow(hour) AS wd, hour(hour) AS hr, avg(price) AS m, count(*) AS n FROM h GROUP BY 1, 2, 3),
+q AS (SELECT corridor, quantile_cont(m, 0.9) AS q FROM k WHERE n >= 2 GROUP BY 1) SELECT corridor, wd AS weekday, hr AS hour, round(m, 7) AS mean, n FROM k
+  JOIN q USING (corridor) WHERE n >= 2 AND round(m, 7) >= round(q, 7)""")
 def session_buckets(spark, sf):
     """Hours of the week whose mean lies in the top tenth of its corridor's."""
     k = P.hourly_panel(spark, sf).groupBy("corridor", (F.weekday("hour") + 1).alias("weekday"), F.hour("hour").alias("hour")).agg(F.round(F.avg("price"), 7).alias("mean"), F.avg("price").alias("m"), F.count("*").alias("n")).where("n >= 2")
@@ -211,7 +255,8 @@ def technical_rules(spark, sf):
     return d.groupBy("corridor").agg(F.count("*").alias("n"), F.count_if(p / c("p1") - 1 <= -0.2).alias("drop20"), F.count_if(p <= c("m") - 2 * c("s")).alias("below_band"), F.count_if(p > c("top")).alias("breakout"), F.count_if(c("fast") > c("slow")).alias("fast_above"))
 
 
-@query("""WITH {D}, m AS (SELECT corridor, date_trunc('month', day)::DATE AS month, round(avg(price), 2) AS x, round(avg(n), 6) AS y FROM d GROUP BY 1, 2), r AS (SELECT corridor, rank() OVER (PARTITION BY corridor ORDER BY x) + (count(*) OVER (PARTITION BY corridor, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY corridor ORDER BY y) + (count(*) OVER (PARTITION BY corridor, y) - 1) / 2.0 AS ry FROM m)
+@query("""WITH {D}, m AS (SELECT corridor, date_trunc('month', day)::DATE AS month, round(avg(price), 2) AS x, round(avg(n), 6) AS y FROM d GROUP BY 1, 2),
+r AS (SELECT corridor, rank() OVER (PARTITION BY corridor ORDER BY x) + (count(*) OVER (PARTITION BY corridor, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY corridor ORDER BY y) + (count(*) OVER (PARTITION BY corridor, y) - 1) / 2.0 AS ry FROM m)
 SELECT corridor, round(corr(rx, ry), 6) AS spearman, count(*) AS months FROM r GROUP BY 1""")
 def spearman(spark, sf):
     """Rank correlation of monthly price and activity, ties by their mean rank."""
@@ -227,13 +272,16 @@ def prefix_projection(spark, sf):
     return j.select(*[k for k in j.columns if k.startswith("c_")]).distinct()
 
 
-@query("""SELECT horizon, count(*) AS n, round(avg(regret_bps), 6) AS regret FROM (SELECT DISTINCT score_id, horizon, score, regret_bps, target FROM score_frame WHERE score IS NOT NULL AND NOT isnan(score) AND regret_bps IS NOT NULL AND target IS NOT NULL) GROUP BY 1""")
+@query("""SELECT horizon, count(*) AS n, round(avg(regret_bps), 6) AS regret FROM (SELECT DISTINCT score_id, horizon, score, regret_bps, target FROM score_frame
+  WHERE score IS NOT NULL AND NOT isnan(score) AND regret_bps IS NOT NULL AND target IS NOT NULL) GROUP BY 1""")
 def complete_cases(spark, sf):
     s = P.table(spark, sf, "score_frame").select("score_id", "horizon", "score", "regret_bps", "target").dropna(subset=["score", "regret_bps", "target"]).distinct()
     return s.groupBy("horizon").agg(F.count("*").alias("n"), r6(F.avg("regret_bps")).alias("regret"))
 
 
-@query("""WITH {H} SELECT a.corridor, a.hour, a.n, b.n AS lag1, c.n AS lag2, d.n AS lag24 FROM h a JOIN h b ON a.corridor = b.corridor AND a.hour = b.hour + INTERVAL 1 HOUR JOIN h c ON a.corridor = c.corridor AND a.hour = c.hour + INTERVAL 2 HOUR JOIN h d ON a.corridor = d.corridor AND a.hour = d.hour + INTERVAL 24 HOUR""")
+@query("""WITH {H} SELECT a.corridor, a.hour, a.n, b.n AS lag1, c.n AS lag2, d.n AS lag24 FROM h a
+  JOIN h b ON a.corridor = b.corridor AND a.hour = b.hour + INTERVAL 1 HOUR JOIN h c ON a.corridor = c.corridor AND a.hour = c.hour + INTERVAL 2 HOUR
+  JOIN h d ON a.corridor = d.corridor AND a.hour = d.hour + INTERVAL 24 HOUR""")
 def multi_lag_join(spark, sf):
     """Each hour with the same source one, two and 24 hours before; rows are spread to the hours they serve and gathered once, instead of joined thrice."""
     h = P.hourly_panel(spark, sf).select("corridor", "hour", "n")
@@ -264,7 +312,8 @@ def horizontal_stats(spark, sf):
     return d.select("secid", "dt_msk", F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b) / F.size("v"), 9).alias("mean"), F.array_min("v").alias("low"), F.array_max("v").alias("high"), F.size("v").alias("present"), r6(F.size(F.filter("v", lambda x: x > c("open"))) / F.size("v")).alias("above_open")).distinct()
 
 
-@query("""WITH {D}, y AS (SELECT corridor, year(day) AS y, round(avg(price), 4) AS m FROM d GROUP BY 1, 2), l AS (SELECT corridor, m / lag(m) OVER (PARTITION BY corridor ORDER BY y) AS r FROM y)
+@query("""WITH {D}, y AS (SELECT corridor, year(day) AS y, round(avg(price), 4) AS m FROM d GROUP BY 1, 2),
+l AS (SELECT corridor, m / lag(m) OVER (PARTITION BY corridor ORDER BY y) AS r FROM y)
 SELECT corridor, count(r) AS folds, round(median(r), 6) AS median, round(quantile_cont(r, 0.75) - quantile_cont(r, 0.25), 6) AS iqr, round(min(r), 6) AS worst, round(max(r), 6) AS best FROM l WHERE r IS NOT NULL GROUP BY 1""")
 def foldwise_summary(spark, sf):
     y = P.daily_panel(spark, sf).groupBy("corridor", F.year("day").alias("y")).agg(r4(F.avg("price")).alias("m"))
@@ -273,7 +322,8 @@ def foldwise_summary(spark, sf):
     return r.groupBy("corridor").agg(F.count("r").alias("folds"), r6(q(0.5)).alias("median"), r6(q(0.75) - q(0.25)).alias("iqr"), r6(F.min("r")).alias("worst"), r6(F.max("r")).alias("best"))
 
 
-@query("""WITH {D}, p AS (SELECT corridor, day, row_number() OVER (PARTITION BY corridor ORDER BY day) - 1 AS pos, count(*) OVER (PARTITION BY corridor) AS n FROM d), b AS (SELECT *, ntile(4) OVER (PARTITION BY corridor ORDER BY day) AS block FROM p WHERE pos >= n // 2)
+@query("""WITH {D}, p AS (SELECT corridor, day, row_number() OVER (PARTITION BY corridor ORDER BY day) - 1 AS pos, count(*) OVER (PARTITION BY corridor) AS n FROM d),
+b AS (SELECT *, ntile(4) OVER (PARTITION BY corridor ORDER BY day) AS block FROM p WHERE pos >= n // 2)
 SELECT corridor, block, min(pos) - 5 AS train_stop, min(pos) AS test_lo, max(pos) AS test_hi FROM b GROUP BY 1, 2""")
 def oof_blocks(spark, sf):
     """The second half of a series in four consecutive blocks, each scored by what lies five rows before it."""
@@ -288,7 +338,9 @@ def identical_support(spark, sf):
     return P.daily_panel(spark, sf).groupBy("day").agg(F.count_distinct("corridor").alias("corridors")).where("corridors <> 5")
 
 
-@query("""WITH {D}, p AS (SELECT corridor, (price < 120000)::INT AS s, (n >= 2)::INT AS t, row_number() OVER (PARTITION BY corridor ORDER BY day) - 1 AS pos, count(*) OVER (PARTITION BY corridor) AS n FROM d), k AS (SELECT corridor, n, shift, sum(s * t) AS hits FROM (SELECT a.corridor, a.n, a.s, b.t, x.shift FROM p a JOIN (SELECT unnest(generate_series(0, 49)) * 17 AS shift) x ON true JOIN p b ON b.corridor = a.corridor AND b.pos = (a.pos + x.shift) % a.n) GROUP BY 1, 2, 3)
+@query("""WITH {D}, p AS (SELECT corridor, (price < 120000)::INT AS s, (n >= 2)::INT AS t, row_number() OVER (PARTITION BY corridor ORDER BY day) - 1 AS pos, count(*) OVER (PARTITION BY corridor) AS n FROM d),
+k AS (SELECT corridor, n, shift, sum(s * t) AS hits FROM (SELECT a.corridor, a.n, a.s, b.t, x.shift FROM p a
+  JOIN (SELECT unnest(generate_series(0, 49)) * 17 AS shift) x ON true JOIN p b ON b.corridor = a.corridor AND b.pos = (a.pos + x.shift) % a.n) GROUP BY 1, 2, 3)
 SELECT corridor, max(CASE WHEN shift = 0 THEN hits END)::BIGINT AS hits, round((1 + sum((shift > 0 AND hits >= h0)::INT)) / (1 + sum((shift > 0)::INT)), 6) AS p FROM (SELECT *, max(CASE WHEN shift = 0 THEN hits END) OVER (PARTITION BY corridor) AS h0 FROM k) GROUP BY 1""")
 def circular_placebo(spark, sf):
     """How often signals hit as many targets when the targets are rolled along the series, for 49 rolls."""
@@ -301,7 +353,10 @@ def circular_placebo(spark, sf):
     return k.groupBy("corridor").agg(F.max(F.when(c("shift") == 0, c("hits"))).alias("hits"), r6((1 + F.count_if((c("shift") > 0) & (c("hits") >= c("h0")))) / (1 + F.count_if(c("shift") > 0))).alias("p"))
 
 
-@query("""WITH s AS (SELECT DISTINCT secid, dt_msk, close, volume_rub FROM moex_candles WHERE close > 0 AND volume_rub > 0 AND NOT isnan(volume_rub)), u AS (SELECT secid, asset_class, CAST(dt_msk AS DATE) AS day, round(sum(volume_rub), 2) AS vol, max_by(close, dt_msk) AS close FROM s JOIN moex_universe USING (secid) GROUP BY ALL), n AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY asset_class, day ORDER BY vol DESC, secid) = 1),
+@query("""WITH s AS (SELECT DISTINCT secid, dt_msk, close, volume_rub FROM moex_candles WHERE close > 0 AND volume_rub > 0 AND NOT isnan(volume_rub)),
+u AS (SELECT secid, asset_class, CAST(dt_msk AS DATE) AS day, round(sum(volume_rub), 2) AS vol, max_by(close, dt_msk) AS close FROM s
+  JOIN moex_universe USING (secid) GROUP BY ALL),
+n AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY asset_class, day ORDER BY vol DESC, secid) = 1),
 f AS (SELECT *, CASE WHEN secid <> lag(secid) OVER w THEN lag(close) OVER w / close ELSE 1 END AS f FROM n WINDOW w AS (PARTITION BY asset_class ORDER BY day))
 SELECT asset_class, day, secid, close, round(exp(sum(ln(f)) OVER (PARTITION BY asset_class ORDER BY day ROWS UNBOUNDED PRECEDING)) * close / first_value(close) OVER (PARTITION BY asset_class ORDER BY day ROWS UNBOUNDED PRECEDING), 5) AS rolled FROM f""")
 def continuous_roll(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import OrderedDict
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -140,3 +141,43 @@ def drop_empty_columns(df: DataFrame, prefix: str) -> DataFrame:
         return df
     n = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in names]).first()
     return df.drop(*[c for c in names if not n[c]])
+
+
+MEMO = 32  # most scans kept
+_memo: OrderedDict[tuple, DataFrame] = OrderedDict()
+
+
+def scan_once(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """scan_csv of a local file, kept in the executors' storage as long as the file's time and size stay the same, the least recently used of MEMO scans giving way; filters come after it."""
+    stat = Path(path).stat()
+    key = (spark.sparkContext.applicationId, path, schema, stat.st_mtime_ns, stat.st_size)
+    if key in _memo:
+        _memo.move_to_end(key)
+        return _memo[key]
+    for old in [k for k in _memo if k[:3] == key[:3]] + (list(_memo)[:1] if len(_memo) >= MEMO else []):
+        _memo.pop(old).unpersist()
+    _memo[key] = scan_csv(spark, path, schema).persist()
+    return _memo[key]
+
+
+def verified_csv(spark: SparkSession, path: str, schema: str, sha256: str) -> DataFrame:
+    """scan_csv of a downloaded file whose bytes have the given digest; fails on others."""
+    digest = hashlib.sha256()
+    with open(path, "rb") as f:
+        while part := f.read(1 << 20):
+            digest.update(part)
+    if digest.hexdigest() != sha256:
+        raise ContractError(f"{path} is not the file that was published")
+    return scan_csv(spark, path, schema)
+
+
+def write_set(frames: dict[str, DataFrame], folder: str, order: dict[str, list[str]]) -> dict[str, int]:
+    """Named results as ordered CSV folders beside a manifest of their row counts, which is written last."""
+    rows = {}
+    for name, df in frames.items():
+        write_csv(df, f"{folder}/{name}", order.get(name, df.columns[:1]), gzip=False)
+        rows[name] = df.count()
+    part = Path(folder) / "manifest.json.part"
+    part.write_text(json.dumps(rows, sort_keys=True))
+    part.replace(Path(folder) / "manifest.json")
+    return rows
