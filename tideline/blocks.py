@@ -20,14 +20,15 @@ def before(summaries: DataFrame, entity: str, block: str, agg, value: str, alias
 KNOTS = 64  # equal shares of a hot key's rows between which its blocks are divided evenly in time
 
 
-def hot_blocks(rows: DataFrame, key: str, time: str, per_block: int) -> tuple[DataFrame, bool]:
+def hot_blocks(rows: DataFrame, key: str, time: str, per_block: int, counted: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """rows with block number `b`: -1 for every key of at most per_block rows, blocks of about per_block rows in order of time for the others; and whether there are others.
 
     Keys with more rows are listed in a table (at most one for every per_block rows) with 64 approximate percentiles of
     their times; it meets the rows by an equi-join, which broadcasts it only if its written size is small. Blocks can be as
-    narrow as a microsecond. They change how the work is split, never its result.
+    narrow as a microsecond. They change how the work is split, never its result. `counted` is a cheaper table with the same
+    keys and at least as many rows of each, such as the rows before repeated ones were dropped, which costs no shuffle.
     """
-    counts = cut(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > per_block))
+    counts = cut((rows if counted is None else counted).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > per_block))
     if counts.isEmpty():
         return rows.withColumn("b", F.lit(-1).cast("long")), False
     knots = F.percentile_approx(time, [i / KNOTS for i in range(KNOTS + 1)], 10_000)

@@ -37,7 +37,8 @@ def asof_join(
     kind = r.schema["_v"].dataType
     asked = left.where(left[by].isNotNull() & left[left_on].isNotNull()).select(left[by].alias("_k"), at(left, left_on).alias("_t")).distinct()
     both = r.withColumn("_o", F.lit(1 if strict else 0)).unionByName(asked.withColumn("_v", F.lit(None).cast(kind)).withColumn("_o", F.lit(0 if strict else 1)))
-    rows, some_hot = hot_blocks(both, "_k", "_t", per_block)
+    counted = right.select(right[by].alias("_k")).unionAll(left.select(left[by].alias("_k"))).where("_k is not null")
+    rows, some_hot = hot_blocks(both, "_k", "_t", per_block, counted)
     last = lambda c: F.last(c, True)
     if some_hot:
         tails = rows.where("b >= 0").groupBy("_k", "b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_t"))).alias("_tail"))

@@ -264,7 +264,7 @@ def flag_faults(
     beyond = F.greatest(good("h") - F.greatest(good("o"), good("c")), F.least(good("o"), good("c")) - good("l"))
     each = raw.select("s", "us", "at", "c", beyond.alias("wick"), (bad("c") | bad("h") | bad("l") | trio).alias("impossible"))
     one = each.groupBy("s", "us", "c", "wick", "impossible").agg(F.max("at").alias("at"))
-    rows, some_hot = hot_blocks(one, "s", "us", per_block)
+    rows, some_hot = hot_blocks(one, "s", "us", per_block, raw.select("s"))
     in_order = [F.col("us"), *[F.col(c).desc_nulls_last() for c in ("at", "c", "wick", "impossible")]]
     kind = rows.schema["s"].dataType.simpleString()
     rules = {"far": far, "wick_far": wick_far, "least": least_repeats, "over": repeats_over_usual}

@@ -49,7 +49,8 @@ def as_known(
     ranked = F.struct(*ranks)
     narrow = rel.select("e", "us", ranked.alias("r"))
     narrow = narrow.unionByName(asked.withColumn("r", F.lit(None).cast(narrow.schema["r"].dataType)))
-    rows, some_hot = hot_blocks(narrow, "e", "us", per_block)
+    counted = known.select(F.col(entity).alias("e")).unionAll(events.where(F.col(entity).isNotNull()).select(F.col(entity).alias("e")))
+    rows, some_hot = hot_blocks(narrow, "e", "us", per_block, counted)
     if some_hot:
         best = before(rows.where("b >= 0").groupBy("e", "b").agg(F.max("r").alias("best")), "e", "b", F.max, "best", "carried")
         rows = rows.join(best.select("e", "b", "carried"), ["e", "b"], "left")
