@@ -92,6 +92,18 @@ def test_scores_are_probabilities_of_distinct_days(spark, sf, name):
     assert x["n"] == x["d"] > 0 and 0 <= x["lo"] <= x["hi"] <= 1
 
 
+@pytest.mark.parametrize("name", ["calibrated_scores"])
+def test_a_series_of_one_class_has_no_scores_and_the_others_keep_theirs(spark, tmp_path, name):
+    days = pd.date_range("2020-01-01", "2022-06-30")
+    price = {"flat": np.full(len(days), 100.0), "wild": np.random.default_rng(5).uniform(50, 150, len(days))}
+    for folder, corridors in (("both", ["flat", "wild"]), ("flat", ["flat"])):
+        orders = pd.concat(pd.DataFrame({"o_orderpriority": k, "o_orderdate": days, "o_totalprice": price[k]}) for k in corridors)
+        spark.createDataFrame(orders).write.parquet(f"{tmp_path}/{folder}/orders.parquet")
+    got = getattr(learning, name)(spark, f"{tmp_path}/both").toPandas()
+    assert sorted(got.day) == [d.date() for d in days if d.year > 2020] and set(got.corridor) == {"wild"} and not got.isna().any().any()
+    assert not len(getattr(learning, name)(spark, f"{tmp_path}/flat").toPandas())
+
+
 def test_folds_and_ablations_report_every_year_once(spark, sf):
     folds = learning.fold_evaluation(spark, sf).toPandas()
     assert len(folds) and not folds.duplicated(["corridor", "year"]).any() and (folds.hits <= folds.signals).all() and (folds.signals <= folds.days).all()

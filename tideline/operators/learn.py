@@ -130,7 +130,7 @@ def walk_years(rows: DataFrame, *, by: str | None, day: str, columns: list[str],
                 if made is not None:
                     parts.append(made)
         names = [f.name for f in out_schema]
-        return pd.concat(parts)[names] if parts else pd.DataFrame({n: [] for n in names})
+        return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)  # as objects, since empty floats become no dates
 
     out_schema = rows.sparkSession.createDataFrame([], schema).schema
     return rows.select(*columns, F.lit(1).alias("_all")).groupBy(by or "_all").applyInPandas(run, out_schema)
