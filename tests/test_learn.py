@@ -92,7 +92,7 @@ def test_scores_are_probabilities_of_distinct_days(spark, sf, name):
     assert x["n"] == x["d"] > 0 and 0 <= x["lo"] <= x["hi"] <= 1
 
 
-@pytest.mark.parametrize("name", ["calibrated_scores"])
+@pytest.mark.parametrize("name", ["calibrated_scores", "stacked_scores"])
 def test_a_series_of_one_class_has_no_scores_and_the_others_keep_theirs(spark, tmp_path, name):
     days = pd.date_range("2020-01-01", "2022-06-30")
     price = {"flat": np.full(len(days), 100.0), "wild": np.random.default_rng(5).uniform(50, 150, len(days))}
